@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.llm import canonical_list, copies, encoding, frequency, lookalikes, packing, splits
+from lexweave.llm import canonical_list, copies, encoding, frequency, lookalikes, packing, residue, splits
 from lexweave.llm.sql import SQL  # noqa: F401
 from lexweave.sources.tables import table
 
@@ -22,5 +22,7 @@ QUERIES = {
     "p8_ids": lambda s, d: encoding.encode(table(s, d, "documents")),
     "p9_containers": lambda s, d: packing.containers(table(s, d, "documents"), 4096),
     "p9_containers_1024": lambda s, d: packing.containers(table(s, d, "documents"), 1024),
+    "p10_found": lambda s, d: residue.found(table(s, d, "documents")),
+    "p10_clean": lambda s, d: residue.clean(table(s, d, "documents")).select("doc_id", "n_chars"),
     "p9_fill": lambda s, d: packing.fill(packing.containers(table(s, d, "documents"), 1024), 1024),
 }
