@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.llm import canonical_list, copies, encoding, frequency, lookalikes, packing, residue, splits
+from lexweave.llm import canonical_list, copies, encoding, frequency, lookalikes, packing, personal, residue, splits
 from lexweave.llm.sql import SQL  # noqa: F401
 from lexweave.sources.tables import table
 
@@ -15,6 +15,8 @@ QUERIES = {
     "p3_mention_posts": lambda s, d: lookalikes.one_form(table(s, d, "instances"), "inst_id", "post_txt"),
     "p4_found": lambda s, d: canonical_list.map_values(table(s, d, "typed_terms"), table(s, d, "lexicon")),
     "p4_unmatched": lambda s, d: canonical_list.unmatched(table(s, d, "typed_terms"), table(s, d, "lexicon")),
+    "p5_found": lambda s, d: personal.found(table(s, d, "posts"), table(s, d, "given_names")),
+    "p5_redacted": lambda s, d: personal.redact(table(s, d, "posts"), table(s, d, "given_names")),
     "p6_found": lambda s, d: splits.found(table(s, d, "posts")),
     "p6_splits": lambda s, d: splits.assign_splits(table(s, d, "posts")),
     "p7_found": lambda s, d: frequency.marked(table(s, d, "instances")).where("mark is not null").select("term", "mark"),
