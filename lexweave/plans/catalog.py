@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexweave.plans import nested_queries
+from lexweave.plans import linking_queries, linking_sql, nested_queries
 
-QUERIES = {**nested_queries.QUERIES}
-SQL: dict[str, str] = {}
-FLAGSHIP = "p1_matches"
+QUERIES = {**linking_queries.QUERIES, **nested_queries.QUERIES}
+SQL: dict[str, str] = {**linking_sql.SQL}
+FLAGSHIP = "matches_by_community"
