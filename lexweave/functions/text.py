@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ from lexweave.config import CHEMICAL, CHEMICAL_TUIS, DISORDER, DISORDER_TUIS
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\n"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside lambdas a repeated expression would be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_punctuation(text: Column) -> Column:
     """Each punctuation mark and line break becomes one space, so offsets stay."""
     return F.translate(text, PUNCTUATION, " " * len(PUNCTUATION))
@@ -92,20 +99,26 @@ def last_words(words: Column, k: int) -> Column:
     return F.array_join(F.slice(words, F.greatest(F.size(words) - k + 1, F.lit(1)), k), " ")
 
 
-def ngram_prefixes(words: Column, most: int = 3) -> Column:
-    """Every 1- to ``most``-gram with its first word's position, in reading order; grams run past the end with PAD."""
-    padded = F.concat(words, F.array_repeat(F.lit("PAD"), most - 1))
-    per_word = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(most)), lambda n: F.struct((i - 1).cast("int").alias("pos"), n.cast("int").alias("n"), F.array_join(F.slice(padded, i, n), " ").alias("gram"))))
-    return F.when(F.size(words) > 0, F.flatten(per_word)).otherwise(F.array().cast("array<struct<pos:int,n:int,gram:string>>"))
+def gram_starts(words: Column) -> Column:
+    """Each word with the two that follow it, PAD past the end: ``w1, w2, w3`` in reading order."""
+
+    def body(w: Column) -> Column:
+        after = lambda i, k: F.coalesce(F.get(w, i + k), F.lit("PAD"))
+        return F.transform(w, lambda x, i: F.struct(x.alias("w1"), after(i, 1).alias("w2"), after(i, 2).alias("w3")))
+
+    return let(words, body)
 
 
 def literal_offsets(text: Column, part: Column) -> Column:
     """Start offsets of all non-overlapping occurrences of a literal part, from the left; none for an empty part."""
-    pieces = F.split(text, F.concat(F.lit("\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1)
-    lengths = F.transform(pieces, F.length)
-    step = F.length(part)
-    starts = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda i: (F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x) + (i - 1) * step).cast("int"))
-    return F.when((step > 0) & (F.size(pieces) > 1), starts).otherwise(F.array().cast("array<int>"))
+    quoted = F.concat(F.lit("\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("o"))
+    # a running end of the pieces; every piece but the last is followed by the part
+    step = lambda acc, n: F.struct((acc.at + n + F.length(part)).cast("int").alias("at"), F.concat(acc.o, F.array((acc.at + n).cast("int"))).alias("o"))
+    lengths = F.transform(F.split(text, quoted, -1), F.length)
+    offsets = let(lengths, lambda l: F.aggregate(F.slice(l, F.lit(1), F.greatest(F.size(l) - 1, F.lit(0))), start, step, lambda acc: acc.o))
+    return F.when(F.length(part) > 0, offsets).otherwise(F.when(text.isNotNull() & part.isNotNull(), none))
 
 
 # ---- rule tokenizer ---------------------------------------------------------------------------------------------------
@@ -148,22 +161,25 @@ def sentences(text: Column, most: int = 150, chunk: int = 140) -> Column:
 
     A sentence of more than ``most`` words is cut into chunks of ``chunk``; what follows the last stop is one sentence.
     """
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     stop = lambda w: w.rlike(r"^[!|.?]")
-    size = F.size(words)
-    last_of_run = F.filter(F.sequence(F.lit(1), size), lambda i: stop(F.get(words, i - 1)) & ((i == size) | ~F.coalesce(stop(F.get(words, i)), F.lit(False))))
-    ends = F.when(size > 0, last_of_run).otherwise(F.array().cast("array<int>"))
-    begins = F.concat(F.array(F.lit(0)), ends)
-    spans = F.transform(begins, lambda b, k: F.struct(b.alias("b"), F.coalesce(F.get(ends, k), size).alias("e"), (k < F.size(ends)).alias("stopped")))
-    spans = F.filter(spans, lambda s: s.e > s.b)
-
-    def chunks(s: Column) -> Column:
+
+    def body(words: Column) -> Column:
+        size = F.size(words)
+        last_of_run = F.filter(F.sequence(F.lit(1), size), lambda i: stop(F.get(words, i - 1)) & ((i == size) | ~F.coalesce(stop(F.get(words, i)), F.lit(False))))
+        return let(F.when(size > 0, last_of_run).otherwise(F.array().cast("array<int>")), lambda ends: cut_at(words, ends))
+
+    def cut_at(words: Column, ends: Column) -> Column:
+        size = F.size(words)
+        spans = F.transform(F.concat(F.array(F.lit(0)), ends), lambda b, k: F.struct(b.alias("b"), F.coalesce(F.get(ends, k), size).alias("e"), (k < F.size(ends)).alias("stopped")))
+        return F.flatten(F.transform(F.filter(spans, lambda s: s.e > s.b), lambda s: chunks(words, s)))
+
+    def chunks(words: Column, s: Column) -> Column:
         n = s.e - s.b
         # chunks are cut while more than `most` words are left
         many = F.when(s.stopped & (n > most), F.ceil((n - most) / chunk).cast("int") + 1).otherwise(F.lit(1))
         return F.transform(F.sequence(F.lit(1), many), lambda k: F.array_join(F.slice(words, (s.b + (k - 1) * chunk + 1).cast("int"), F.when(k == many, s.e - s.b - (k - 1) * chunk).otherwise(F.lit(chunk)).cast("int")), " "))
 
-    return F.flatten(F.transform(spans, chunks))
+    return let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), body)
 
 
 def longest(words: Column) -> Column:

@@ -10,10 +10,11 @@ from lexweave.functions import text as X
 from lexweave.functions.similarity import bigrams, gestalt, may_exceed
 
 
-def post_ngrams(posts: DataFrame, text: str, key: str = "post_id", most: int = T.max_words) -> DataFrame:
-    """``key, pos, n, gram`` for every candidate n-gram of a text column; null texts give none."""
-    g = posts.where(F.col(text).isNotNull()).select(key, F.explode(X.ngram_prefixes(X.usable_tokens(F.col(text)), most)).alias("g"))
-    return g.select(key, "g.pos", "g.n", "g.gram")
+def post_ngrams(posts: DataFrame, text: str, key: str = "post_id") -> DataFrame:
+    """``key, pos, n, gram`` for every 1- to 3-gram of a text column's usable words, PAD past the end; null texts give none."""
+    words = posts.where(F.col(text).isNotNull()).select(key, F.posexplode(X.gram_starts(X.usable_tokens(F.col(text)))).alias("pos", "w"))
+    grams = words.select(key, "pos", F.posexplode(F.array(F.col("w.w1"), F.concat_ws(" ", "w.w1", "w.w2"), F.concat_ws(" ", "w.w1", "w.w2", "w.w3"))).alias("i", "gram"))
+    return grams.select(key, "pos", (F.col("i") + 1).cast("int").alias("n"), "gram")
 
 
 def is_generic(gram: Column, n: Column) -> Column:
@@ -32,23 +33,31 @@ def priority_entries(lexicon: DataFrame, by: str) -> DataFrame:
 def cosine_candidates(candidates: DataFrame, terms: DataFrame, low_single: float = T.low_single, low_multi: float = T.low_multi) -> DataFrame:
     """``gram, n, term, overlap, gram_size, term_size`` for each candidate's closest term by cosine of bigram sets.
 
-    Both inputs hold distinct strings. A pair of cosine c shares one of the first size - ceil(c² size) + 1 bigrams in order
-    of rarity, so only these are joined; the exact overlap is counted on the pairs that are left. Ties go to the smaller term.
+    Both inputs hold distinct strings. Two sets of cosine c share one of the first size - ceil(c² size) + 1 bigrams in the
+    order of rarity among the terms (those that no term has come first, and match nothing), so only these are joined, under
+    a bound on the sizes and on what can follow the shared place. The exact overlap is counted on the pairs left, from
+    the strings themselves. Ties go to the smaller term.
     """
-    least = min(low_single, low_multi)
-    c = candidates.select("gram", "n", bigrams(F.col("gram")).alias("b")).withColumn("size", F.size("b"))
-    t = terms.select("term", bigrams(F.col("term")).alias("b")).withColumn("size", F.size("b"))
-    rarity = t.select(F.explode("b").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-
-    def prefixed(df: DataFrame, key: str) -> DataFrame:
-        e = df.select(key, F.explode("b").alias("g")).join(rarity, "g", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("o"))
-        keep = (F.size("o") - F.ceil(F.size("o") * (least * least) - 1e-9) + 1).cast("int")
-        return e.select(key, F.explode(F.slice("o", F.lit(1), keep)).alias("x")).select(key, F.col("x.g").alias("g"))
-
-    pairs = prefixed(c, "gram").join(prefixed(t, "term"), "g").select("gram", "term").distinct()
     low = F.when(F.col("n") == 1, low_single).otherwise(low_multi)
-    both = pairs.join(c.select("gram", "n", F.col("b").alias("cb"), F.col("size").alias("gram_size")), "gram").join(t.select("term", F.col("b").alias("tb"), F.col("size").alias("term_size")), "term")
-    scored = both.withColumn("overlap", F.size(F.array_intersect("cb", "tb"))).where((F.col("overlap") * F.col("overlap")).cast("double") >= low * low * (F.col("gram_size") * F.col("term_size")).cast("double"))
+    rarity = terms.select(F.explode(bigrams(F.col("term"))).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+
+    def prefixed(df: DataFrame, least: Column, *keys: str) -> DataFrame:
+        e = df.select(*keys, F.explode(bigrams(F.col(keys[0]))).alias("g")).join(rarity, "g", "left")
+        o = e.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "g"))).alias("o"))  # one string's bigrams
+        size = F.size("o")
+        keep = (size - F.ceil(size * (least * least) - 1e-9) + 1).cast("int")
+        rows = o.select(*keys, size.alias("size"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("at", "x"))
+        return rows.where("x.f > 0").select(*keys, "size", "at", F.col("x.g").alias("g"))
+
+    c = prefixed(candidates, low, "gram", "n").withColumnsRenamed({"size": "gram_size", "at": "i"})
+    t = prefixed(terms, F.lit(min(low_single, low_multi)), "term").withColumnsRenamed({"size": "term_size", "at": "j"})
+    need = low * F.sqrt(F.col("gram_size") * F.col("term_size")) - 1e-9
+    can = F.least("i", "j") + 1 + F.least(F.col("gram_size") - F.col("i"), F.col("term_size") - F.col("j")) - 1
+    fits = (F.least("gram_size", "term_size") >= need) & (can >= need)
+    pairs = c.join(t, "g").where(fits).select("gram", "n", "gram_size", "term", "term_size").distinct()
+    # a generator keeps the overlap from being computed again in every filter and sort key
+    counted = pairs.select("*", F.explode(F.array(F.size(F.array_intersect(bigrams(F.col("gram")), bigrams(F.col("term")))))).alias("overlap"))
+    scored = counted.where((F.col("overlap") * F.col("overlap")).cast("double") >= low * low * (F.col("gram_size") * F.col("term_size")).cast("double"))
     rank = F.col("overlap").cast("double") * F.col("overlap") / (F.col("gram_size") * F.col("term_size"))
     best = scored.groupBy("gram", "n").agg(F.min_by(F.struct("term", "overlap", "gram_size", "term_size"), F.struct(-rank, F.col("term"))).alias("m"))
     return best.select("gram", "n", "m.term", "m.overlap", "m.gram_size", "m.term_size")
@@ -65,17 +74,16 @@ def good_matches(cosine: DataFrame, above_single: float = T.above_single, above_
 def match_posts(posts: DataFrame, lexicon: DataFrame, text: str = "tokenized_text") -> DataFrame:
     """``post_id, pos, n, cand_match, umls_match, cui, tui, semantic_type, match_eng, ratio`` for both languages.
 
-    The search runs once over the distinct candidates; the matches are joined back to where they stand.
+    One search over the distinct candidates serves both languages, as their forms share no letters; Latin candidates are
+    searched in lower case. The few matches are joined back to where the candidates stand.
     """
-    grams = post_ngrams(posts, text).where(~is_generic(F.col("gram"), F.col("n")))
-    out = None
-    for by, rows in (("heb", grams), ("str", grams.where(X.is_english(F.col("gram"))).withColumn("gram", F.lower("gram")))):
-        entries = priority_entries(lexicon, by)
-        found = good_matches(cosine_candidates(rows.select("gram", "n").distinct(), entries.select(F.col("form").alias("term")).distinct()))
-        named = found.join(entries.withColumnRenamed("form", "term"), "term").select("gram", "n", "term", "cui", "tui", "name", "ratio")
-        part = rows.join(named, ["gram", "n"]).select("post_id", "pos", "n", F.col("gram").alias("cand_match"), F.col("term").alias("umls_match"), "cui", "tui", X.semantic_type(F.col("tui")).alias("semantic_type"), (F.col("name") if by == "heb" else F.lit(None).cast("string")).alias("match_eng"), "ratio", F.lit(by).alias("language"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    grams = post_ngrams(posts, text).withColumn("gram", F.when(X.is_english(F.col("gram")), F.lower("gram")).otherwise(F.col("gram"))).where(~is_generic(F.col("gram"), F.col("n")))
+    heb = priority_entries(lexicon, "heb").select("form", "cui", "tui", F.col("name").alias("match_eng"), F.lit("heb").alias("language"))
+    eng = priority_entries(lexicon, "str").select("form", "cui", "tui", F.lit(None).cast("string").alias("match_eng"), F.lit("eng").alias("language"))
+    entries = heb.unionByName(eng).withColumnRenamed("form", "term").where("term <> ''")
+    found = good_matches(cosine_candidates(grams.select("gram", "n").distinct(), entries.select("term").distinct()))
+    named = found.join(entries, "term").select("gram", "n", "term", "cui", "tui", "match_eng", "ratio", "language")
+    return grams.join(named, ["gram", "n"]).select("post_id", "pos", "n", F.col("gram").alias("cand_match"), F.col("term").alias("umls_match"), "cui", "tui", X.semantic_type(F.col("tui")).alias("semantic_type"), "match_eng", "ratio", "language")
 
 
 def with_offsets(matches: DataFrame, posts: DataFrame) -> DataFrame:
