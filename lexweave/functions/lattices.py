@@ -41,4 +41,4 @@ def lattice(df: DataFrame, key: str, text: str, analyses: bool = False) -> DataF
     wanted = FEATURES if analyses else FEATURES[:4]
     checked = rows.where(F.assert_true(F.size("f") == 8, F.lit("a lattice row must have 8 fields")).isNull())
     word = f(2)
-    return checked.select(key, "sentence", "line_no", f(0).cast("int").alias("start"), f(1).cast("int").alias("end"), word.alias("word"), F.coalesce(F.nullif(f(3), F.lit("")), F.nullif(f(3), F.lit("_")), word).alias("lemma"), f(4).alias("pos"), f(5).alias("pos_2"), *(F.element_at(fm, name).alias("num_s_p" if name == "num" else name) for name in wanted), f(7).cast("int").alias("num_last"))
+    return checked.select(key, "sentence", "line_no", f(0).cast("int").alias("start"), f(1).cast("int").alias("end"), word.alias("word"), F.when(f(3).isin("", "_"), word).otherwise(F.coalesce(f(3), word)).alias("lemma"), f(4).alias("pos"), f(5).alias("pos_2"), *(F.element_at(fm, name).alias("num_s_p" if name == "num" else name) for name in wanted), f(7).cast("int").alias("num_last"))

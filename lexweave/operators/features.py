@@ -122,7 +122,7 @@ def morphology_row(instances: DataFrame, rows: DataFrame, above: float = T.above
     context = rows.select("file_name", "pos", "word", "lemma", F.lag("word").over(w).alias("before"), F.lead("word").over(w).alias("after"), F.lead("word", 2).over(w).alias("after2"))
     pairs = i.join(context, "file_name")
     alike = (lambda a, b: F.when(a == b, 1.0).otherwise(0.0)) if exact else (lambda a, b: F.when(may_exceed(a, b, above), gestalt(a, b)).otherwise(0.0))
-    by_word = alike(F.col("word"), F.col("head"))
+    by_word = alike(F.col("word"), F.col("head")) if exact else gestalt("word", "head")  # the fifth way needs it of every row
     pairs = pairs.withColumn("ws", by_word).withColumn("ls", alike(F.col("lemma"), F.col("head")))
     mine = Window.partitionBy("inst_id")
     ordered = mine.orderBy("pos")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,6 +47,27 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table below the shared checkpoint folder and go on from its files.
+
+    Unlike a checkpointed plan, the files bring their true size: the estimates of a loop of joins would otherwise multiply
+    from round to round. The tables are removed when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/lexweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.setdefault(spark.sparkContext, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: dict[SparkContext, list[str]] = {}
+
+
+@atexit.register
+def _remove() -> None:
+    for context, paths in _written.items():
+        try:
+            for path in paths:
+                p = context._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone by then
+            return
