@@ -7,7 +7,7 @@ as the counts allow, and what remains is placed best-fit. The plan is a few thou
 its container by its rank among the documents of its length. Ranks are counted in pieces, so no task holds a whole length.
 
 Defined results: a document longer than the capacity is cut into full pieces and a rest, others are never cut; documents
-without tokens (null, empty) take no space and have no container (null, piece 0); a null id is kept; repeated rows are items of
+without tokens (null, empty) take no space and are spread over the containers (over container 0 where there is none); a null id is kept; repeated rows are items of
 their own; an empty table gives no containers.
 """
 
@@ -147,7 +147,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = sizes.sparkSession
     pieces = sizes.select(
         "doc_id",
-        F.explode(F.expr(f"CASE WHEN n_tokens > 0 THEN sequence(1, cast(ceil(n_tokens / {capacity}) as int)) ELSE array(0) END")).alias("piece_no"),
+        F.explode(F.expr(f"CASE WHEN n_tokens > 0 THEN sequence(1, cast(ceil(n_tokens / {capacity}) as int)) ELSE array(1) END")).alias("piece_no"),
         F.col("n_tokens").alias("whole"),
     )
     start = F.greatest(F.lit(0), (F.col("piece_no") - 1) * capacity)
@@ -159,7 +159,9 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     for r in sorted(histogram, key=lambda r: (r.n_tokens, r.bucket)):
         before.append((r.n_tokens, r.bucket, counts.get(r.n_tokens, 0)))
         counts[r.n_tokens] = counts.get(r.n_tokens, 0) + r.n
-    slots = pd.DataFrame(intervals(plan(counts, capacity)), columns=["n_tokens", "first", "ranks", "per", "base"]).sort_values(["n_tokens", "first"])
+    patterns = plan(counts, capacity)
+    total = sum(many for _, many in patterns)
+    slots = pd.DataFrame(intervals(patterns), columns=["n_tokens", "first", "ranks", "per", "base"]).sort_values(["n_tokens", "first"])
     by_length = {int(n): (g["first"].to_numpy(), g["per"].to_numpy(), g["base"].to_numpy()) for n, g in slots.groupby("n_tokens")}
     held = spark.sparkContext.broadcast(by_length)  # a few intervals for each length up to the capacity
     offsets = F.broadcast(spark.createDataFrame(before, "n_tokens int, bucket int, before long"))
@@ -177,7 +179,8 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece_no")) - 1
     sized = pieces.where("n_tokens > 0").withColumn("rank", rank).join(offsets, ["n_tokens", "bucket"])
     placed = sized.select("doc_id", F.col("piece_no").cast("int").alias("piece_no"), F.col("start_token").cast("int").alias("start_token"), F.col("n_tokens").cast("int").alias("n_tokens"), container(F.col("n_tokens"), F.col("before") + F.col("rank")).alias("container_id"))
-    none = pieces.where("n_tokens = 0").select("doc_id", F.col("piece_no").cast("int"), F.col("start_token").cast("int"), F.col("n_tokens").cast("int"), F.lit(None).cast("long").alias("container_id"))
+    spread = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(max(1, total))).cast("long")
+    none = pieces.where("n_tokens = 0").select("doc_id", F.col("piece_no").cast("int").alias("piece_no"), F.lit(0).alias("start_token"), F.lit(0).alias("n_tokens"), spread.alias("container_id"))
     return placed.unionByName(none)
 
 
@@ -188,5 +191,5 @@ def containers(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def fill(packed: DataFrame, capacity: int) -> DataFrame:
     """``containers, tokens, fill, lower_bound``: the share of the space used, and how few containers could do."""
-    c = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
+    c = packed.where("n_tokens > 0").groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
     return c.agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), (F.sum("t") / (F.count(F.lit(1)) * capacity)).alias("fill"), F.ceil(F.sum("t") / capacity).alias("lower_bound"))

@@ -10,10 +10,8 @@ def check(rows, sizes, capacity):
     for r in rows:
         got[r.doc_id] += r.n_tokens
         pieces[r.doc_id].append((r.start_token, r.n_tokens))
-        if r.container_id is not None:
-            space[r.container_id] += r.n_tokens
-        else:
-            assert r.n_tokens == 0
+        assert r.container_id is not None
+        space[r.container_id] += r.n_tokens
     assert got == Counter(sizes) and max(space.values(), default=0) <= capacity
     for d, p in pieces.items():
         p.sort()
