@@ -17,9 +17,13 @@ repeated documents each count; rows with a null id are left out; extra columns a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.llm.lookalikes import _quoted
 from lexweave.session import cut
 
 _NAME = r"[\p{L}_][\p{L}\p{N}_. -]{0,60}?"
@@ -29,6 +33,8 @@ STRONG = "|".join(
 )
 #: Brackets that other text uses as well.
 WEAK = rf"(?<![\[{{$%#])(?:\{{\s*{_NAME}\s*\}}|\[\s*{_NAME}\s*\]|<\s*[A-Z][A-Z_ ]{{2,40}}>)(?![\]}}])"
+#: What every delimiter holds.
+MARKED = r"[{}\[]|<[%<A-Z]|%%|@@|__"
 #: An identifier, or an instruction to the one who fills the form in.
 IDENTIFIER = r"^(?:[A-Za-z]+(?:[_.][A-Za-z]+)+|[A-Z]{2,}(?:_[A-Z]+)+)$"
 INSTRUCTION = r"(?i)\b(?:insert|enter|type|add|put|write)\b.*\b(?:here|text|name|title|date)\b|\bgoes? here\b|\byour (?:name|text|title|post|message)\b|הכנס|הקלד|הזן|כתוב כאן|вставьте|введите|ins[ée]re[rz]|saisissez|أدخل|اكتب هنا"
@@ -41,27 +47,50 @@ ERROR = (
 )
 REFUSAL = r"access (?:is )?denied|do not have permission|permission denied|must be (?:a registered|logged)|session has expired|log in again|please log ?in|accès refusé|veuillez vous connecter|доступ запрещ|войдите на|אין לך הרשאה|יש להתחבר|הגישה נדחתה|تم رفض|يجب تسجيل الدخول"
 SCRIPTS = r"(?:enable|needs?|requires?|without|turn on|activate|activer|включите|להפעיל|תפעיל|تفعيل)\W+(?:\w+\W+){0,3}?(?:java ?script|scripts?|cookies)|java ?script[^.!?]{0,40}(?:disabled|required|turned off|pour continuer|чтобы|כדי)|scripts? (?:turned off|disabled|enabled|must be)|checking your browser|scripts must be allowed"
-FILLER = (
-    r"lorem ipsum[\p{L} ,.]*|לורם איפסום[\p{IsHebrew} ,.]*|\b(?:xxx+|asdf\w*|qwer\w*|test|тест|בדיקה|foo|bar|blah|tbd|todo)\b|\b123\d*\b|(?:your |the )?(?:post|page|message)? ?content (?:goes )?here|(?:type|write|enter) (?:your )?(?:message|text|post) here|(?:sample|placeholder|dummy|example) text(?: goes here)?|text goes here"
+FILLER_WORDS = r"xxx+|asdf\w*|qwer\w*|test|тест|בדיקה|foo|bar|blah|tbd|todo"
+FILLER_PHRASES = (
+    r"lorem ipsum[\p{L} ,.]*|לורם איפסום[\p{IsHebrew} ,.]*|(?:your |the )?(?:post|page|message)? ?content (?:goes )?here|(?:type|write|enter) (?:your )?(?:message|text|post) here|(?:sample|placeholder|dummy|example) text(?: goes here)?|text goes here"
     r"|texte (?:de remplissage|d.exemple)|текст[- ]заполнитель|пример текста|здесь будет текст|טקסט לדוגמה|טקסט לדוגמא|כאן יבוא(?: תוכן ההודעה| טקסט| התוכן)?|تجربة|نص تجريبي"
 )
+FILLER = rf"{FILLER_PHRASES}|\b(?:{FILLER_WORDS})\b|\b123\d*\b"
 CORE = f"(?iu)(?:{ERROR}|{REFUSAL}|{SCRIPTS})"
-#: Over a whole raw text: any cue, or a status code by itself.
-ANY_CUE = rf"(?iu)(?:{ERROR}|{REFUSAL}|{SCRIPTS}|{FILLER}|\b[45]\d\d\b)".replace(" ?", r"\s*").replace(" ", r"\s+")
+#: Over a whole raw text, for an engine that reads all alternatives at once: any cue, or a status code by itself.
+ANY_CUE = (
+    rf"(?i)(?:{ERROR}|{REFUSAL}|{SCRIPTS}|{FILLER_PHRASES}".replace(r"\b", "").replace(r"\p{IsHebrew}", r"\p{Hebrew}").replace(" ?", r"\s*").replace(" ", r"\s+")
+    + rf"|(?:^|[^\pL])(?:{FILLER_WORDS})(?:$|[^\pL])|(?:^|\D)[45]\d\d(?:\D|$))"
+)
 QUOTED = r"^\s*(?:>|[\"“„«])"
 
 
 def segments(text: Column) -> Column:
     """Lines and sentences with numbers and ids masked, lower case, without the punctuation around them."""
     parts = F.split(text, r"[\n\r]+|(?<=[.!?…])\s+|\s+[-–—]\s+")
-    plain = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), r"\s+", " ")))
+    plain = F.transform(parts, lambda s: F.trim(F.when(s.rlike(r"\s\s|[^\S ]"), F.regexp_replace(F.lower(s), r"\s+", " ")).otherwise(F.lower(s))))
     return F.filter(plain, lambda s: s.rlike(r"[\p{L}\p{N}]"))
 
 
 def skeleton(segment: Column) -> Column:
     """A segment's static part: ids and numbers are slots."""
-    masked = F.regexp_replace(segment, r"(?<![\p{L}\p{N}])(?=[0-9a-f]*\d)[0-9a-f]{6,40}(?![\p{L}\p{N}])|\d+", "#")
-    return F.trim(F.regexp_replace(F.regexp_replace(masked, r"(?<![\p{L}\p{N}])[a-f]{6}(?![\p{L}\p{N}])", "#"), r"^[\s.,:;!?]+|[\s.,:;!?]+$", ""))
+    ids = r"(?<![\p{L}\p{N}])(?:(?=[0-9a-f]*\d)[0-9a-f]{6,40}|[a-f]{6})(?![\p{L}\p{N}])|\d+"
+    masked = F.when(segment.rlike(r"\d|\b[a-f]{6}\b"), F.regexp_replace(segment, ids, "#")).otherwise(segment)
+    return F.btrim(masked, F.lit(" .,:;!?\t"))
+
+
+def cued(docs: DataFrame) -> DataFrame:
+    """Documents with any cue. The engine's automaton reads each text once for all alternatives, in Arrow partitions."""
+    sql = f"SELECT k AS doc_id, x AS t FROM b WHERE regexp_matches(x, {_quoted(ANY_CUE)})"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        schema = pa.schema([("doc_id", pa.int64()), ("t", pa.string())])
+        for batch in batches:
+            con.register("b", pa.Table.from_batches([batch], schema=pa.schema([("k", pa.int64()), ("x", pa.string())])))
+            yield from con.sql(sql).to_arrow_table().cast(schema).to_batches()
+            con.unregister("b")
+
+    return docs.select(F.col("doc_id").alias("k"), F.col("t").alias("x")).mapInArrow(run, "doc_id long, t string")
 
 
 def _word_count(segment: Column) -> Column:
@@ -79,7 +108,7 @@ def _is_core(segment: Column) -> Column:
 
 def placeholders(docs: DataFrame) -> DataFrame:
     """``doc_id`` of the documents with a slot that keeps a variable name, an instruction or nothing."""
-    wrapped = docs.where(F.col("t").rlike(r"[{\[<%@]|__")).select("doc_id", F.explode(F.array_distinct(F.concat(F.transform(F.regexp_extract_all("t", F.lit(f"({STRONG})"), 1), lambda x: F.struct(F.lit(True).alias("strong"), x.alias("w"))), F.transform(F.regexp_extract_all("t", F.lit(f"({WEAK})"), 1), lambda x: F.struct(F.lit(False).alias("strong"), x.alias("w")))))).alias("p"))
+    wrapped = docs.where(F.col("t").rlike(MARKED)).select("doc_id", F.explode(F.array_distinct(F.concat(F.transform(F.regexp_extract_all("t", F.lit(f"({STRONG})"), 1), lambda x: F.struct(F.lit(True).alias("strong"), x.alias("w"))), F.transform(F.regexp_extract_all("t", F.lit(f"({WEAK})"), 1), lambda x: F.struct(F.lit(False).alias("strong"), x.alias("w")))))).alias("p"))
     slots = wrapped.select("doc_id", "p.strong", F.trim(F.regexp_replace("p.w", r"^[^\p{L}]*|[^\p{L}\p{N}]*$", "")).alias("name"), F.regexp_extract("p.w", r"^[^\p{L}\s]+", 0).alias("open"))
     # names that the corpus wraps in several ways are variables
     variables = slots.groupBy(F.lower("name").alias("key")).agg(F.max("strong").alias("known"), F.approx_count_distinct("open").alias("kinds")).where("known or kinds > 1").select("key")
@@ -91,16 +120,24 @@ def placeholders(docs: DataFrame) -> DataFrame:
 
 def blank_forms(docs: DataFrame, least_records: int = 3) -> DataFrame:
     """``doc_id`` of documents with a line that is aligned with a template line but has nothing in its slots."""
-    lines = docs.select("doc_id", F.explode(F.split("t", r"[\n\r]+")).alias("line"))
-    slot = F.col("line").rlike(STRONG)
-    static = F.lower(F.regexp_replace(F.regexp_replace("line", f"{STRONG}|{WEAK}", " "), r"[^\p{L}]+", " "))
-    keyed = lines.select("doc_id", slot.alias("slot"), F.trim(static).alias("static"))
-    template = keyed.where("slot").where(_word_count(F.col("static")) >= 3)
-    known = template.groupBy("static").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_records)
-    plain = keyed.where("not slot").join(known, "static").select("doc_id", "static", "n")
+    def keyed(rows: DataFrame) -> DataFrame:
+        static = F.lower(F.regexp_replace(F.regexp_replace("line", f"{STRONG}|{WEAK}", " "), r"[^\p{L}]+", " "))
+        return rows.select("doc_id", F.col("line").rlike(STRONG).alias("slot"), F.trim(static).alias("static"))
+
+    def lines(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", F.explode(F.split("t", r"[\n\r]+")).alias("line"))
+
+    marked = lines(docs.where(F.col("t").rlike(MARKED))).where(F.col("line").rlike(MARKED))
+    template = keyed(marked).where("slot").where(_word_count(F.col("static")) >= 3)
+    known = cut(template.groupBy("static").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_records))
+    # a blank slot leaves a gap: a mark behind a space, two spaces, or an end behind a space or colon
+    gap = r"\s[,.!?;]|[^\s]\s\s|[\s:]$"
+    blank = cut(keyed(lines(docs).where(F.col("line").rlike(gap))).where("not slot").join(known, "static").select("doc_id", "static", "n"))
+    if blank.isEmpty():
+        return blank.select("doc_id")
     # a sentence that often stands without any slot is no template
-    share = plain.groupBy("static").agg(F.count(F.lit(1)).alias("m"))
-    return plain.join(share, "static").where("m < n").select("doc_id").distinct()
+    share = keyed(lines(docs)).where("not slot").join(blank.select("static").distinct(), "static", "left_semi").groupBy("static").agg(F.count(F.lit(1)).alias("m"))
+    return blank.join(share, "static").where("m < n").select("doc_id").distinct()
 
 
 def pages(docs: DataFrame, long: int = 8, title: int = 4, least_share: float = 0.5) -> DataFrame:
@@ -108,13 +145,16 @@ def pages(docs: DataFrame, long: int = 8, title: int = 4, least_share: float = 0
 
     ``long`` is the number of words from which a segment without a cue is prose.
     """
-    cued = docs.where(F.col("t").rlike(ANY_CUE)).select("doc_id", segments(F.col("t")).alias("s"))
-    described = cued.select("doc_id", F.transform("s", lambda s: F.struct(skeleton(s).alias("k"), _is_core(s).alias("core"), _word_count(s).alias("words"), s.rlike(QUOTED).alias("quoted"))).alias("s"))
+    described = cued(docs).select("doc_id", segments(F.col("t")).alias("s"))
+    described = described.select("doc_id", F.transform("s", lambda s: F.struct(skeleton(s).alias("k"), _is_core(s).alias("core"), _word_count(s).alias("words"), F.length(s).alias("size"), s.rlike(QUOTED).alias("quoted"))).alias("s"))
     likely = described.where(F.exists("s", lambda x: x.core) & ~F.exists("s", lambda x: ~x.core & ((x.words > long) | x.quoted)))
     likely = cut(likely)
     parts = likely.select("doc_id", F.explode("s").alias("x")).where("not x.core").select("doc_id", F.xxhash64("x.k").alias("h"), "x.k", "x.words")
+    # nothing longer than the longest piece of a page can be furniture
+    longest = likely.agg(F.max(F.array_max(F.transform("s", lambda x: F.when(x.core, 0).otherwise(x["size"]))))).first()[0] or 0
     in_pages = parts.groupBy("h").agg(F.countDistinct("doc_id").alias("in_pages"))
-    everywhere = docs.select(F.explode(F.array_distinct(F.transform(segments(F.col("t")), lambda s: F.xxhash64(skeleton(s))))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    short = F.filter(segments(F.col("t")), lambda s: F.length(s) <= longest)
+    everywhere = docs.select(F.explode(F.array_distinct(F.transform(short, lambda s: F.xxhash64(skeleton(s))))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     share = in_pages.join(everywhere, "h").select("h", (F.col("in_pages") / F.col("n")).alias("share"), "n")
     share = cut(share)
     judged = parts.join(share, "h")
