@@ -149,7 +149,8 @@ def map_values(typed: DataFrame, lexicon: DataFrame, key: str = "entry_id") -> D
     asked = distinct.select("name").join(one, "name", "left").select("name", F.coalesce("full", "name").alias("query"))
     pairs = similar(asked.select(F.col("query").alias("name")).distinct(), entry.select("name").distinct())
     near = pairs.where(F.abs(F.length("left_name") - F.length("right_name")) <= EDITS_LONG + 2)  # more can't be edited away
-    judged = near.withColumn("edits", _name_edits("left_name", "right_name")).join(entry.withColumnRenamed("name", "right_name"), "right_name")
+    # not deterministic by declaration only: so the check stays above the join's distinct pairs and runs once for each
+    judged = near.withColumn("edits", _name_edits.asNondeterministic()("left_name", "right_name")).join(entry.withColumnRenamed("name", "right_name"), "right_name")
     # short names bear fewer errors
     allowed = F.when(F.col("acronym"), 0).when(F.length("left_name") <= 3, 0).when(F.length("left_name") >= LONG, EDITS_LONG).otherwise(EDITS)
     fits = judged.where(F.col("edits") <= allowed).groupBy("left_name", "cui").agg(F.min("edits").alias("edits"), F.max("jaccard").alias("jaccard"))
