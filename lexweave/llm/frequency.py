@@ -195,4 +195,4 @@ def marked(df: DataFrame, term: str = "cand_match", file: str = "file_name", rar
     """Counts with ``mark``: rare with at most ``rare`` files, else common with more than the share ``common`` of all files, else null."""
     files = df.where(F.col(file).isNotNull()).select(F.col(file).alias("f")).distinct().agg(F.count(F.lit(1)).alias("n_all"))
     counts = count_terms(df, term, file).crossJoin(F.broadcast(files))  # one row
-    return counts.select("term", "n_rows", "n_files", F.when(F.col("n_files") <= rare, "rare").when(F.col("n_files") > F.col("n_all") * common, "common").alias("mark"))
+    return counts.select("term", "n_rows", "n_files", F.when(F.col("n_files") <= rare, "rare").when(F.col("n_files") / F.col("n_all") > common, "common").alias("mark"))

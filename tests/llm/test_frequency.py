@@ -44,3 +44,9 @@ def test_counts(spark):
     total = len({f for _, f, _ in rows if f is not None})
     assert all(marks[t] == ("rare" if len(files[t]) <= 2 else "common" if len(files[t]) > total * 0.01 else None) for t in n)
     assert frequency.marked(df.limit(0)).count() == 0
+
+
+def test_exactly_one_percent_is_not_common(spark):
+    rows = [("edge" if i < 29 else "over" if i < 59 else f"t{i}", f"f{i}") for i in range(2900)]
+    marks = {r.term: r.mark for r in frequency.marked(spark.createDataFrame(rows, "cand_match string, file_name string")).collect()}
+    assert marks["edge"] is None and marks["over"] == "common" and marks["t100"] == "rare"
