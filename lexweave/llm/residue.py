@@ -140,34 +140,59 @@ def blank_forms(docs: DataFrame, least_records: int = 3) -> DataFrame:
     return blank.join(share, "static").where("m < n").select("doc_id").distinct()
 
 
+def _edged(k: Column) -> Column:
+    """A static part without the marks around it, so that pieces of a joined line meet those that stand alone."""
+    return F.regexp_replace(k, r"^[^\p{L}\p{N}#]+|[^\p{L}\p{N}#]+$", "")
+
+
+def joined(parts: DataFrame, furniture: DataFrame) -> DataFrame:
+    """``h`` of the segments (``h, k``) that consist of pieces of ``furniture`` (``k``) on one line, however many."""
+    pieces = cut(furniture.select(_edged(F.col("k")).alias("k")).where("k <> ''").select(F.xxhash64("k").alias("p"), F.size(F.split("k", " ")).alias("n")).groupBy("p").agg(F.max("n").alias("n")))
+    most = pieces.agg(F.max("n")).first()[0]
+    if most is None:
+        return parts.select("h").limit(0)
+    most += 2  # marks between two pieces are words of their own
+    w = parts.select("h", F.split("k", " ").alias("w")).where(F.size("w") > 1)
+    piece = lambda a, n: F.xxhash64(_edged(F.array_join(F.slice("w", a, n), " ")))
+    up_to = lambda n: F.sequence(F.lit(1), F.least(n, F.lit(most)))
+    known = pieces.select("p")
+    # most prose neither begins nor ends with a piece
+    front = w.select("h", F.explode(F.transform(up_to(F.size("w")), lambda n: piece(F.lit(1), n))).alias("p")).join(known, "p", "left_semi").select("h").distinct()
+    w = w.join(front, "h", "left_semi")
+    back = w.select("h", F.explode(F.transform(up_to(F.size("w")), lambda n: piece(F.size("w") - n + 1, n))).alias("p")).join(known, "p", "left_semi").select("h").distinct()
+    w = cut(w.join(back, "h", "left_semi"))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda a: F.transform(up_to(F.size("w") - a + 1), lambda n: F.struct((a + n - 1).alias("b"), a.alias("a"), piece(a, n).alias("p")))))
+    spans = w.select("h", F.size("w").alias("size"), F.explode(spans).alias("x")).select("h", "size", "x.a", "x.b", "x.p").join(known, "p", "left_semi")
+    # places that pieces reach from the line's beginning, in the order of their ends; a piece is never longer than ``most``
+    reached = F.aggregate(F.array_sort(F.collect_set(F.struct("b", "a"))), F.array(F.lit(0)), lambda r, x: F.when(F.array_contains(r, x["a"] - 1), F.array_union(F.filter(r, lambda y: y >= x["b"] - most), F.array(x["b"]))).otherwise(r))
+    return spans.groupBy("h", "size").agg(reached.alias("r")).where(F.array_contains("r", F.col("size"))).select("h")
+
+
 def pages(docs: DataFrame, long: int = 8, title: int = 4, least_share: float = 0.5) -> DataFrame:
     """``doc_id`` of documents that are nothing but a message, filler and page furniture.
 
-    ``long`` is the number of words from which a segment without a cue is prose.
+    Furniture is counted in all documents with a core, and only what is left of a line without it is judged. A segment
+    of more than ``long`` words is furniture when it stands under different messages; a post that was copied keeps its own.
     """
     described = cued(docs).select("doc_id", segments(F.col("t")).alias("s"))
     described = described.select("doc_id", F.transform("s", lambda s: F.struct(skeleton(s).alias("k"), _is_core(s).alias("core"), _word_count(s).alias("words"), F.length(s).alias("size"), s.rlike(QUOTED).alias("quoted"))).alias("s"))
-    likely = described.where(F.exists("s", lambda x: x.core) & ~F.exists("s", lambda x: ~x.core & ((x.words > long) | x.quoted)))
-    likely = cut(likely)
-    parts = likely.select("doc_id", F.explode("s").alias("x")).where("not x.core").select("doc_id", F.xxhash64("x.k").alias("h"), "x.k", "x.words")
+    likely = cut(described.where(F.exists("s", lambda x: x.core) & ~F.exists("s", lambda x: ~x.core & x.quoted)))
+    message = F.xxhash64(F.array_sort(F.array_distinct(F.transform(F.filter("s", lambda x: x.core), lambda x: x.k))))
+    parts = cut(likely.select("doc_id", message.alias("message"), F.explode("s").alias("x")).where("not x.core").select("doc_id", "message", F.xxhash64("x.k").alias("h"), "x.k", "x.words", "x.size"))
+    # what stands in one page only is no furniture, and only a short one can be a title
+    in_pages = cut(parts.groupBy("h").agg(F.first("k").alias("k"), F.max("words").alias("words"), F.max("size").alias("size"), F.countDistinct("doc_id").alias("in_pages"), F.countDistinct("message").alias("messages")))
+    able = in_pages.where((F.col("words") <= title) | ((F.col("in_pages") > 1) & ((F.col("words") <= long) | (F.col("messages") > 1))))
     # nothing longer than the longest piece of a page can be furniture
-    longest = likely.agg(F.max(F.array_max(F.transform("s", lambda x: F.when(x.core, 0).otherwise(x["size"]))))).first()[0] or 0
-    in_pages = parts.groupBy("h").agg(F.countDistinct("doc_id").alias("in_pages"))
+    longest = able.agg(F.max("size")).first()[0] or 0
     short = F.filter(segments(F.col("t")), lambda s: F.length(s) <= longest)
     everywhere = docs.select(F.explode(F.array_distinct(F.transform(short, lambda s: F.xxhash64(skeleton(s))))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    share = in_pages.join(everywhere, "h").select("h", (F.col("in_pages") / F.col("n")).alias("share"), "n")
-    share = cut(share)
-    judged = parts.join(share, "h")
+    share = able.join(everywhere, "h").select("h", "k", "words", (F.col("in_pages") / F.col("n")).alias("share"), "n")
+    share = cut(share.where(F.col("share") >= least_share))
     # furniture stands mostly in pages; a title is short and says the same nowhere else in prose
-    known = (F.col("share") >= least_share) & (F.col("n") > 2)
-    prose = judged.where(~(known | ((F.col("share") >= least_share) & (F.col("words") <= title))))
-    # two pieces of furniture on one line
-    furniture = share.where(known).select("h")
-    cuts = prose.select("doc_id", "h", F.explode(F.expr("CASE WHEN instr(k, ' ') > 0 THEN sequence(1, size(split(k, ' ')) - 1) ELSE array() END")).alias("i"), F.split("k", " ").alias("w"))
-    piece = lambda a, b: F.xxhash64(F.trim(F.regexp_replace(F.array_join(F.slice("w", a, b), " "), r"^[\s.,:;!?]+|[\s.,:;!?]+$", "")))
-    cuts = cuts.select("doc_id", "h", piece(F.lit(1), F.col("i")).alias("front"), piece(F.col("i") + 1, F.size("w")).alias("back"))
-    pair = cuts.join(furniture.withColumnRenamed("h", "front"), "front", "left_semi").join(furniture.withColumnRenamed("h", "back"), "back", "left_semi").select("doc_id", "h")
-    prose = prose.select("doc_id", "h").join(pair, ["doc_id", "h"], "left_anti")
+    furniture = share.where("n > 2")
+    plain = cut(furniture.select("h").unionByName(share.where(F.col("words") <= title).select("h")).distinct())
+    rest = in_pages.join(plain, "h", "left_anti").select("h", "k")
+    prose = parts.select("doc_id", "h").join(plain.unionByName(joined(rest, furniture)), "h", "left_anti")
     return likely.select("doc_id").join(prose, "doc_id", "left_anti")
 
 

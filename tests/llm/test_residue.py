@@ -30,3 +30,14 @@ def test_blank_slots(spark):
 def test_long_text(spark):
     df = spark.createDataFrame([(1, "word " * 200_000), (2, "word " * 100_000 + "{{x}}")], "doc_id long, text string")
     assert [r.doc_id for r in residue.found(df).collect()] == [2]
+
+
+def test_furniture_joined_on_one_line(spark):
+    heads, feet = ["404 Not Found", "503 Service Unavailable", "Access denied", "Database connection failed: too many clients"], ["Request id 00149b", "Powered by board engine, build 91877c", "Return to the index of all boards"]
+    rows = [(i, "\n".join([h, *feet])) for i, h in enumerate(heads)]
+    rows += [(10, f"{heads[3]}\n{feet[0]} {feet[1]}"), (11, f"{heads[0]}\n{feet[2]} {feet[0]} {feet[1]}"), (12, f"{heads[1]}\n{feet[2]} | {feet[1]} | {feet[0]}")]
+    rows += [(20, f"{heads[0]}\n{feet[0]} and my knees hurt all the same since the winter {feet[1]}"), (21, f"{heads[0]}\n{feet[0]} {feet[1]} is what I see when I come here in the evening")]
+    # a copied post keeps its message, however often it stands
+    rows += [(30 + i, f"{heads[0]}\nthat is what I see when I come here in the evening with my knees") for i in range(5)]
+    found = {r.doc_id for r in residue.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0, 1, 2, 3, 10, 11, 12}
