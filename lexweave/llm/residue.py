@@ -135,9 +135,11 @@ def blank_forms(docs: DataFrame, least_records: int = 3) -> DataFrame:
     blank = cut(keyed(lines(docs).where(F.col("line").rlike(gap))).where("not slot").join(known, "static").select("doc_id", "static", "n"))
     if blank.isEmpty():
         return blank.select("doc_id")
-    # a sentence that often stands without any slot is no template
-    share = keyed(lines(docs)).where("not slot").join(blank.select("static").distinct(), "static", "left_semi").groupBy("static").agg(F.count(F.lit(1)).alias("m"))
-    return blank.join(share, "static").where("m < n").select("doc_id").distinct()
+    # a sentence that often stands without any slot is no template; the blank ones are not counted against it
+    gaps = blank.groupBy("static").agg(F.count(F.lit(1)).alias("blanks"))
+    plain = keyed(lines(docs).where(~F.col("line").rlike(gap))).where("not slot").join(gaps.select("static"), "static", "left_semi").groupBy("static").agg(F.count(F.lit(1)).alias("m"))
+    kept = gaps.join(plain, "static", "left").select("static", "blanks", F.coalesce("m", F.lit(0)).alias("m"))
+    return blank.join(kept, "static").where("m < n + blanks").select("doc_id").distinct()
 
 
 def _edged(k: Column) -> Column:

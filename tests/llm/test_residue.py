@@ -41,3 +41,12 @@ def test_furniture_joined_on_one_line(spark):
     rows += [(30 + i, f"{heads[0]}\nthat is what I see when I come here in the evening with my knees") for i in range(5)]
     found = {r.doc_id for r in residue.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {0, 1, 2, 3, 10, 11, 12}
+
+
+def test_blank_forms_outnumber_filled_ones(spark):
+    line = "Hello {}, you have a new reply in {}"
+    rows = [(i, line.format(f"{{{{n{i}}}}}", "{{t}}")) for i in range(4)] + [(10 + i, line.format("", "")) for i in range(30)]
+    # ordinary sentences of the same words outnumber the template and what looks like its blanks
+    rows += [(100 + i, "the {{n}} of my knees") for i in range(3)] + [(110, "the  of my knees")] + [(120 + i, "the of my knees") for i in range(5)]
+    found = {r.doc_id for r in residue.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {*range(4), *range(10, 40), *range(100, 103)}
