@@ -3,8 +3,8 @@
 Distinct (term, file) cells are formed first, combined on the map side, so that a term with a third of all rows is spread
 by its files. Each task then counts its cells in a burst trie: a node holds a small table of suffixes until it bursts into
 one child per character, so hot prefixes get deep paths and rare ones stay shallow. A task sends its leaf tables with the
-prefix they stand under, front-coded; prefixes are routed by an adaptive router of the prefixes that are heavy over all
-tasks, and matching subtrees are merged where they meet. A term's counters are one number pair per task by then.
+prefix they stand under, front-coded; an adaptive router of the prefixes that are heavy over all tasks sends each term where
+all its counters meet, whatever the depth of its leaf, and matching subtrees are merged there. A term's counters are one number pair per task by then.
 
 Defined results: rows without term or file are left out; the empty text is a term; terms and files are compared as they
 stand; the rows of an instance delivered twice count twice; ``rare`` goes before ``common``; an empty table gives no terms.
@@ -133,6 +133,33 @@ _BLOCK = ["prefix", "shared", "rest", "occurrences", "records"]
 _BLOCK_DDL = "prefix string, shared array<int>, rest array<string>, occurrences array<long>, records array<long>"
 
 
+def shortest(term: str, heavy: frozenset[str]) -> str:
+    """Where a term is merged: its shortest prefix that is not heavy. It depends on nothing but the term."""
+    k = 1
+    while k < len(term) and term[:k] in heavy:
+        k += 1
+    return term[:k]
+
+
+def _routed(batches: Iterator[pd.DataFrame], heavy: frozenset[str]) -> Iterator[pd.DataFrame]:
+    """Blocks with their route. Tasks burst to unequal depths, so a leaf that stands above its terms' routes is split by them."""
+    for batch in batches:
+        out: list[tuple] = []
+        for prefix, shared, rest, occurrences, records in zip(*(batch[c] for c in _BLOCK), strict=True):
+            route = shortest(prefix, heavy)
+            if route and route not in heavy:
+                out.append((prefix, shared, rest, occurrences, records, route))
+                continue
+            parts: dict[str, list[tuple[str, int, int]]] = {}
+            last = ""
+            for n, tail, o, r in zip(shared, rest, occurrences, records, strict=True):
+                last = last[:n] + tail
+                parts.setdefault(shortest(prefix + last, heavy), []).append((last, int(o), int(r)))
+            for route, part in parts.items():
+                out.append((prefix, *front_coded([x[0] for x in part]), [x[1] for x in part], [x[2] for x in part], route))
+        yield pd.DataFrame(out, columns=[*_BLOCK, "route"])
+
+
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     trie = BurstTrie(4 * BURST)
     for batch in batches:
@@ -167,28 +194,15 @@ def count_terms(df: DataFrame, term: str = "cand_match", file: str = "file_name"
     blocks = cut(cells.select("term", "n").mapInPandas(_count, _BLOCK_DDL))
     entries = blocks.select("prefix", F.size("rest").alias("n"))
     total = entries.agg(F.sum("n")).first()[0] or 0
-    route = F.substring("prefix", 1, 1)
+    heavy: frozenset[str] = frozenset()
     if total > per_task:
         # weight of every prefix of a leaf's path; those above the bound are passed through, one character deeper
         paths = entries.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.length("prefix") > 0)
         weights = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("prefix")), lambda k: F.substring(F.col("prefix"), F.lit(1), k))).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") > per_task)
-        heavy = {r.p for r in weights.select("p").limit(MAX_DEPTH * (total // per_task + 1)).collect()}
-        router = spark.sparkContext.broadcast(heavy)
-
-        @F.pandas_udf("string")
-        def routed(prefixes: pd.Series) -> pd.Series:
-            passed = router.value
-
-            def shortest(p: str) -> str:
-                k = 1
-                while k < len(p) and p[:k] in passed:
-                    k += 1
-                return p[:k]
-
-            return prefixes.map(shortest)
-
-        route = routed("prefix")
-    return blocks.withColumn("route", route).repartition("route").drop("route").mapInPandas(_merge, "term string, n_rows long, n_files long")
+        heavy = frozenset(r.p for r in weights.select("p").limit(MAX_DEPTH * (total // per_task + 1)).collect())
+    router = spark.sparkContext.broadcast(heavy)
+    routed = blocks.mapInPandas(lambda batches: _routed(batches, router.value), f"{_BLOCK_DDL}, route string")
+    return routed.repartition("route").drop("route").mapInPandas(_merge, "term string, n_rows long, n_files long")
 
 
 def marked(df: DataFrame, term: str = "cand_match", file: str = "file_name", rare: int = 2, common: float = 0.01) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import pandas as pd
+
 from lexweave.llm import frequency
 
 
@@ -50,3 +52,34 @@ def test_exactly_one_percent_is_not_common(spark):
     rows = [("edge" if i < 29 else "over" if i < 59 else f"t{i}", f"f{i}") for i in range(2900)]
     marks = {r.term: r.mark for r in frequency.marked(spark.createDataFrame(rows, "cand_match string, file_name string")).collect()}
     assert marks["edge"] is None and marks["over"] == "common" and marks["t100"] == "rare"
+
+
+def test_terms_meet_from_unequal_tries(spark):
+    # two tasks: one bursts, the other stays a single leaf, or bursts less deep
+    rows = [(f"t{i}", "f", 1) for i in range(900)], [(f"t{i}", "g", 1) for i in range(0, 400, 2)]
+    want = {f"t{i}": 1 + (i < 400 and i % 2 == 0) for i in range(900)}
+    for few in (rows[1], [*rows[1], *((f"a{i}", "g", 1) for i in range(200))]):
+        for heavy in (frozenset(), frozenset({"t"}), frozenset({"t", "t1", "t2", "t10"})):
+            met = {}
+            for part in (rows[0], few):
+                blocks = frequency._count(iter([pd.DataFrame(part, columns=["term", "file", "n"])]))
+                for b in frequency._routed(blocks, heavy):
+                    for route, rest in b.groupby("route"):
+                        met.setdefault(route, []).append(rest)
+            got = [x for blocks in met.values() for out in frequency._merge(iter(blocks)) for x in zip(out["term"], out["n_files"], strict=True)]
+            assert len(got) == len(dict(got)) and {k: v for k, v in got if k[0] == "t"} == want
+
+
+def test_one_row_a_term_whatever_the_tasks(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(f"t{i}", f"f{j}") for i in range(364) for j in range(3)]  # some tasks burst, some do not
+        df = spark.createDataFrame(rows, "cand_match string, file_name string")
+        for per_task in (500_000, 50):
+            got = [tuple(r) for r in frequency.count_terms(df, per_task=per_task).collect()]
+            assert sorted(got) == sorted((f"t{i}", 3, 3) for i in range(364))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
