@@ -268,9 +268,11 @@ _QUICK = re.compile(r"@|\d[\d .()/-]{5,}\d|(?i:\bat\b.{0,40}\bdot\b|zero|\boh\b|
 
 def spans(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
     """``start, end, kind`` of all personal data in a text, in order, none overlapping."""
-    if not text or not _QUICK.search(text):
+    if not text:
         return []
     s, at = plain_view(text)
+    if not _QUICK.search(s):
+        return []
     out: list[tuple[int, int, str]] = [(*m.span(), "email") for m in EMAIL.finditer(s)]
     out += [(*m.span(1), "birth_date") for m in BIRTH.finditer(s)]
     for pattern in (IDENTITY, IDENTITY_FORM):
@@ -288,6 +290,11 @@ def spans(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
     return [(at[a], at[b - 1] + 1, kind) for a, b, kind in chosen]
 
 
+def _cued(text: str) -> bool:
+    """Whether a text may hold anything, read as ``spans`` reads it."""
+    return bool(_QUICK.search(plain_view(text)[0]))
+
+
 def carried(found: list[tuple[int, int, str]], text: str, other: str) -> list[tuple[int, int, str]] | None:
     """Spans of ``text`` in a text with the same letters and digits; None where these differ."""
     here = [i for i, c in enumerate(text) if c.isalnum()]
@@ -315,8 +322,8 @@ def _both(post: str | None, tokens: str | None, given: frozenset[str]) -> tuple[
         return first, []
     second = None
     if post is not None:
-        second = carried(first, post, tokens) if first or not _QUICK.search(tokens) else []
-        if second == [] and not first and _QUICK.search(tokens) and carried([], post, tokens) is None:
+        second = carried(first, post, tokens) if first or not _cued(tokens) else []
+        if second == [] and not first and _cued(tokens) and carried([], post, tokens) is None:
             second = None
     return first, spans(tokens, given) if second is None else second
 

@@ -66,3 +66,10 @@ def test_check_digit_and_dates():
     assert P.check_digit(new[:8]) == new[8] and new != "123456782"
     assert P.pseudonym_date(31, 2, 2000, b"k") is None and P.pseudonym_date(1, 2, 2000, b"k") == P.pseudonym_date(1, 2, 2000, b"k")
     assert re.search(r"\[DATE \d\d/\d\d/\d{4}\]", P.redacted("born 01/02/1980", P.spans("born 01/02/1980", GIVEN)))
+
+
+def test_odd_characters_inside_the_only_cue():
+    for t, name in (("ש\u200bמי דנה", "דנה"), ("my na\u200bme is Hugo", "Hugo"), ("my n\u0430me is Hugo", "Hugo")):
+        assert kinds(t) == [(name, "name")], t
+    assert kinds("tal\uff20example.com") == [("tal\uff20example.com", "email")]
+    assert P._both(None, "my na\u200bme is Hugo", GIVEN)[1] != [] and P._both("a", "my na\u200bme is Hugo", GIVEN)[1] != []
