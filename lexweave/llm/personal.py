@@ -200,6 +200,8 @@ NAME_BETWEEN = [
 ]
 #: Names behind a word that announces one.
 NAME_BEHIND = re.compile(rf"(?<!\w)(?:קוראים לי|שמי|בברכה\s?,?|ד\s?[\"״]\s?ר)\s+({_H})|(?i:\bregards\s?,|\bmy name is|\bdr\s?\.)\s+({_E})|(?<!\w)(?i:меня зовут|с уважением\s?,)\s+([А-ЯЁ][а-яё]+)")
+#: Words that announce a name without words behind it: a listed given name must follow (capitals alone are mostly illnesses and titles).
+ANNOUNCED = re.compile(rf"(?<!\w)(?:דיברתי עם\s+|תודה ל\s?:?\s*|{_HKIN}\s+)({_H})|(?i:\b(?:nurse|spoke (?:with|to)|thanks? (?:you )?to\s?:?|my {_KIN}))[^\S\n]+({_E})")
 #: What follows a name that nothing announces.
 NAME_BEFORE = re.compile(r"(?<!\w)(?:מהקבוצה\s+(?:המליצה|המליץ|אמרה?|כתבה?)|(?i:from the group\s+(?:said|told|wrote|recommended)))(?!\w)")
 _JOINERS = {"ואז", "אבל", "וגם", "כי", "עם", "and", "then", "but", "so", "because", "with", "a", "the", "is"}
@@ -225,11 +227,21 @@ def _tail(text: str, end: int, given: frozenset[str]) -> int:
 
 
 def _names(text: str, given: frozenset[str]) -> Iterator[tuple[int, int]]:
+    between: set[int] = set()
     for pattern in NAME_BETWEEN:
         for m in pattern.finditer(text):
             if m.group(1).split()[0].lower() not in _JOINERS | _ROLES:
+                between.add(m.start(1))
                 yield m.span(1)
     shouted = text.upper() == text or text.lower() == text
+    for m in ANNOUNCED.finditer(text):
+        g = m.lastindex
+        word, start = re.sub(r"['’]s$", "", m.group(g)), m.start(g)
+        end = start + len(word)
+        if start in between or word.lower() in _JOINERS | _ROLES:
+            continue
+        if word.lower() in given and (g == 1 or word[0].isupper() or shouted):
+            yield start, end if shouted and g == 2 else _tail(text, end, given)
     for m in NAME_BEHIND.finditer(text):
         g = m.lastindex
         word = m.group(g)
@@ -263,7 +275,7 @@ def _names(text: str, given: frozenset[str]) -> Iterator[tuple[int, int]]:
         yield words[i][0], m.start() - (len(text[: m.start()]) - len(text[: m.start()].rstrip()))
 
 
-_QUICK = re.compile(r"@|\d[\d .()/-]{5,}\d|(?i:\bat\b.{0,40}\bdot\b|zero|\boh\b|אפס|ноль)|שטרודל|כרוכית|собака|\((?i:at)\)|\[(?i:at)\]|רחוב|רח\s?['׳.]|שדרות|שד\s?['׳.]|סמטת|דרך|כיכר|שכונת|ул\.|улица|(?i:street|road|lane|close|\bave|\brd\b|\bst\b|regards|name is|spoke|looks after|\bdr\b|nurse|from the group|for the help|\bid\b|identity|born|birth)|קוראים לי|שמי|בברכה|דיברתי|תודה ל|[\"״]\s?ר|מטפל|מהקבוצה|זהות|לידה|נולדתי|зовут|уважением|рожд")
+_QUICK = re.compile(r"@|\d[\d .()/-]{5,}\d|(?i:\bat\b.{0,40}\bdot\b|zero|\boh\b|אפס|ноль)|שטרודל|כרוכית|собака|\((?i:at)\)|\[(?i:at)\]|רחוב|רח\s?['׳.]|שדרות|שד\s?['׳.]|סמטת|דרך|כיכר|שכונת|ул\.|улица|(?i:street|road|lane|close|\bave|\brd\b|\bst\b|regards|name is|spoke|looks after|\bdr\b|nurse|from the group|thanks? (?:you )?to|\bmy (?:husband|wife|partner|mother|father|son|daughter|brother|sister|mum|mom|dad)\b|for the help|\bid\b|identity|born|birth)|קוראים לי|שמי|בברכה|דיברתי|תודה ל|בעלי|אשתי|אישתי|זוגי|אחי|אחותי|אמי|אבי|בני|בתי|[\"״]\s?ר|מטפל|מהקבוצה|זהות|לידה|נולדתי|зовут|уважением|рожд")
 
 
 def spans(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:

@@ -73,3 +73,13 @@ def test_odd_characters_inside_the_only_cue():
         assert kinds(t) == [(name, "name")], t
     assert kinds("tal\uff20example.com") == [("tal\uff20example.com", "email")]
     assert P._both(None, "my na\u200bme is Hugo", GIVEN)[1] != [] and P._both("a", "my na\u200bme is Hugo", GIVEN)[1] != []
+
+
+def test_announced_names_without_words_behind():
+    for t, name in (
+        ("nurse Hugo Cohen told me", "Hugo Cohen"), ("I spoke with Hugo Cohen yesterday", "Hugo Cohen"), ("thanks to Hugo I sleep", "Hugo"), ("my sister Rose's knees", "Rose"), ("my husband Hugo Astle drove", "Hugo Astle"),
+        ("דיברתי עם דנה אתמול בערב", "דנה"), ("תודה לדנה שעזרה לי", "דנה"), ("אחותי דנה כהן, והכאב", "דנה כהן"),
+    ):
+        assert kinds(t) == [(name, "name")], t
+    for t in ("the nurse told me", "my clinic nurse Advised", "I spoke with the nurse", "thanks to all of you", "thanks to Juvenile Cramp I rest", "my mother rose early, My knees", "my son is ill", "דיברתי עם הרופא", "תודה לכולם", "אחותי אמרה לי"):
+        assert kinds(t) == [], t
