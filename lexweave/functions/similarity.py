@@ -28,12 +28,26 @@ def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def may_exceed(a: Column, b: Column, threshold: float) -> Column:
-    """False only where the ratio cannot reach ``threshold`` : twice the shorter length over both lengths."""
-    la, lb = F.length(a), F.length(b)
-    return 2 * F.least(la, lb) >= threshold * (la + lb)
+    """False only where the ratio cannot reach ``threshold``.
+
+    The ratio is twice the matched characters over both lengths. They are at most the shorter length, and what is not
+    matched bounds the edit distance from above.
+    """
+    total = F.length(a) + F.length(b)
+    return (2 * F.least(F.length(a), F.length(b)) >= threshold * total) & (F.levenshtein(a, b) <= (1 - threshold) * total + 1e-9)
 
 
 def bigrams(term: Column) -> Column:
     """The set of two-character grams of a term padded by one space on either side."""
     padded = F.concat(F.lit(" "), term, F.lit(" "))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 1), lambda i: F.substring(padded, i, F.lit(2))))
+
+
+def signature(grams: Column) -> Column:
+    """64 bits, one set for the cell of each gram."""
+    return F.aggregate(grams, F.lit(0).cast("long"), lambda a, g: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(g), F.lit(64)).cast("int"))))
+
+
+def most_shared(a: Column, a_size: Column, b: Column, b_size: Column) -> Column:
+    """An upper bound on what two sets share, by their signatures: every bit that the other lacks stands for a gram it lacks."""
+    return F.least(a_size - F.bit_count(a.bitwiseAND(F.bitwise_not(b))), b_size - F.bit_count(b.bitwiseAND(F.bitwise_not(a))))

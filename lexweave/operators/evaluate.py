@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.config import T
@@ -12,39 +12,45 @@ from lexweave.functions.similarity import gestalt, may_exceed
 # ---- spans -------------------------------------------------------------------------------------------------------------
 
 
-def in_place(spans: DataFrame, texts: DataFrame, least: float = T.in_place, exact: bool = False) -> DataFrame:
-    """Spans with ``ok``: the text at their place is like their term. ``texts`` has one ``text`` per file."""
-    j = spans.join(texts.select("file_name", X.blank_punctuation(F.col("text")).alias("t")), "file_name")
+def in_place(spans: DataFrame, texts: DataFrame, least: float = T.in_place) -> DataFrame:
+    """Spans with ``ok``: the text at their place reads like their term. ``texts`` has one ``text`` per file."""
+    j = spans.join(texts.select("file_name", F.col("text").alias("t")), "file_name")
     there = F.substring("t", F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
-    ok = (F.lower(there) == F.lower(X.blank_punctuation(F.col("term")))) if exact else (gestalt(X.blank_punctuation(F.col("term")), there) > least)
-    return j.withColumn("ok", F.coalesce(ok, F.lit(False))).drop("t")
+    return j.withColumn("there", there).withColumn("ok", F.coalesce(gestalt("there", "term") > least, F.lit(False))).drop("t", "there")
 
 
-def matched_spans(gold: DataFrame, predicted: DataFrame, chars: int = T.dedupe_chars, exact: bool = False, above: float = T.label) -> DataFrame:
-    """Pairs ``gold_id, pred_id`` of the same file and label that begin and end near each other with like terms.
+def near_spans(gold: DataFrame, predicted: DataFrame, chars: int = T.dedupe_chars, above: float = T.label) -> DataFrame:
+    """Pairs ``gold_id, pred_id, of_gold, of_predicted`` of the same file and label that begin near each other.
 
-    Both sides bring ``file_name, term, start_offset, end_offset, label`` and an id; they meet on a grid of offsets.
+    The ratio depends on which term comes first: ``of_gold`` says whether the gold term finds the predicted one, the other
+    whether the predicted term finds the gold one. The sides bring ``file_name, term, start_offset, label`` and an id; they
+    meet on a grid of offsets.
     """
     cell = chars + 1
-    g = gold.select("gold_id", "file_name", "label", F.col("term").alias("gt"), F.col("start_offset").alias("gs"), F.col("end_offset").alias("ge"), F.floor(F.col("start_offset") / cell).alias("cell"))
+    g = gold.select("gold_id", "file_name", "label", F.col("term").alias("gt"), F.col("start_offset").alias("gs"), F.floor(F.col("start_offset") / cell).alias("cell"))
     at = F.floor(F.col("start_offset") / cell)
-    p = predicted.select("pred_id", "file_name", "label", F.col("term").alias("pt"), F.col("start_offset").alias("ps"), F.col("end_offset").alias("pe"), F.explode(F.array(at - 1, at, at + 1)).alias("cell"))
-    near = g.join(p, ["file_name", "label", "cell"]).where((F.abs(F.col("gs") - F.col("ps")) <= chars) & (F.abs(F.col("ge") - F.col("pe")) <= chars))
-    if exact:
-        return near.where(F.lower("gt") == F.lower("pt")).select("gold_id", "pred_id")
-    return near.where(may_exceed(F.col("gt"), F.col("pt"), above)).where(gestalt("gt", "pt") > above).select("gold_id", "pred_id")
-
-
-def entity_errors(gold: DataFrame, predicted: DataFrame, exact: bool = False) -> DataFrame:
-    """``community, file_name, label, term, kind`` for every true positive and false negative (of the gold side) and false positive."""
-    pairs = matched_spans(gold, predicted, exact=exact)
-    hit_gold, hit_pred = pairs.select("gold_id").distinct().withColumn("hit", F.lit(True)), pairs.select("pred_id").distinct().withColumn("hit", F.lit(True))
-    columns = ["community", "file_name", "label", "term"]
+    p = predicted.select("pred_id", "file_name", "label", F.col("term").alias("pt"), F.col("start_offset").alias("ps"), F.explode(F.array(at - 1, at, at + 1)).alias("cell"))
+    near = g.join(p, ["file_name", "label", "cell"]).where(F.abs(F.col("gs") - F.col("ps")) <= chars).where(may_exceed(F.col("gt"), F.col("pt"), above))
+    return near.select("gold_id", "pred_id", (gestalt("gt", "pt") > above).alias("of_gold"), (gestalt("pt", "gt") > above).alias("of_predicted"))
+
+
+def entity_errors(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """``community, file_name, label, term, kind, start_offset`` for every true positive and false negative (of the gold side) and false positive."""
+    pairs = near_spans(gold, predicted)
+    hit_gold = pairs.where("of_gold").select("gold_id").distinct().withColumn("hit", F.lit(True))
+    hit_pred = pairs.where("of_predicted").select("pred_id").distinct().withColumn("hit", F.lit(True))
+    columns = ["community", "file_name", "label", "term", "start_offset"]
     g = gold.join(hit_gold, "gold_id", "left").select(*columns, F.when(F.col("hit"), "TP").otherwise("FN").alias("kind"))
     p = predicted.join(hit_pred, "pred_id", "left").where("hit is null").select(*columns, F.lit("FP").alias("kind"))
     return g.unionByName(p)
 
 
+def term_counters(errors: DataFrame) -> DataFrame:
+    """``community, kind, term, n, places``: how often a term is each kind of hit or error, and where, as ordered text ``file:label:start``."""
+    places = F.array_sort(F.collect_list(F.concat_ws(":", "file_name", "label", F.col("start_offset").cast("string"))))
+    return errors.groupBy("community", "kind", "term").agg(F.count(F.lit(1)).alias("n"), places.alias("places"))
+
+
 def entity_metrics(errors: DataFrame, *keys: str) -> DataFrame:
     """Counts, precision, recall and F1 by the keys; null where a denominator is 0."""
     n = lambda k: F.sum((F.col("kind") == k).cast("long"))
@@ -73,43 +79,36 @@ def span_lists(spans: DataFrame) -> DataFrame:
 # ---- tokens ------------------------------------------------------------------------------------------------------------
 
 
-def bio_tokens(texts: DataFrame, spans: DataFrame, exact: bool = False, least: float = T.in_place) -> DataFrame:
+def bio_tokens(texts: DataFrame, spans: DataFrame, least: float = T.in_place) -> DataFrame:
     """``file_name, idx, w, tag`` of every token of the texts: B-D, I-D, B-C, I-C or O.
 
     A span's first token is as many tokens in as there are spaces before it; it covers as many tokens as its term has words.
     It counts when the tokens read like the term; where spans meet on a token the last one stands.
     """
-    t = texts.select("file_name", F.split(X.blank_punctuation(F.col("text")), " ").alias("w"), X.blank_punctuation(F.col("text")).alias("t"))
-    term = F.trim(F.replace("term", F.lit("-"), F.lit(" ")))
-    before = F.substring("t", 1, F.col("start_offset") + 1)
-    s = spans.join(t, "file_name").select("file_name", "ann_no", "label", term.alias("term"), (F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))).alias("first"), "w")
-    s = s.withColumn("n", F.size(F.filter(F.split("term", " "), lambda x: x != ""))).where((F.col("n") > 0) & (F.col("first") + F.col("n") <= F.size("w")))
-    read = F.array_join(F.slice("w", F.col("first") + 1, F.col("n")), " ")
-    s = s.withColumn("read", read)
-    fits = s.where(F.lower("term") == F.lower("read")) if exact else s.where(gestalt("term", "read") >= least)
+    fits = _read(texts, spans).where(gestalt("term", "read") >= least)
     tagged = fits.select("file_name", "ann_no", F.substring("label", 1, 1).alias("c"), F.posexplode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i", "idx"))
     tag = F.concat(F.when(F.col("i") == 0, "B-").otherwise("I-"), F.col("c"))
     last = tagged.groupBy("file_name", "idx").agg(F.max_by(tag, F.col("ann_no")).alias("tag"))
-    tokens = t.select("file_name", F.posexplode("w").alias("idx", "w"))
+    tokens = texts.select("file_name", F.posexplode(F.split(X.blank_punctuation(F.col("text")), " ")).alias("idx", "w"))
     return tokens.join(last, ["file_name", "idx"], "left").select("file_name", "idx", "w", F.coalesce("tag", F.lit("O")).alias("tag"))
 
 
+def _read(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans with ``first`` token, ``n`` tokens and what these ``read``; those without words or that end behind the text are left out."""
+    t = texts.select("file_name", X.blank_punctuation(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
+    before = F.substring("t", 1, F.col("start_offset") + 1)
+    term = F.replace(F.trim("term"), F.lit("-"), F.lit(" "))
+    s = spans.join(t, "file_name").select("file_name", "ann_no", "label", term.alias("term"), (F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))).alias("first"), "w")
+    s = s.withColumn("n", F.size(F.filter(F.split("term", " "), lambda x: x != ""))).where((F.col("n") > 0) & (F.col("first") + F.col("n") <= F.size("w")))
+    return s.select("file_name", "ann_no", "label", "term", "first", "n", F.array_join(F.slice("w", F.col("first") + 1, F.col("n")), " ").alias("read"))
+
+
 def tokenisation_problems(texts: DataFrame, spans: DataFrame, least: float = T.in_place) -> DataFrame:
     """Spans whose tokens do not read like their term, or that end behind the text."""
-    ok = bio_spans_ok(texts, spans, least)
+    ok = _read(texts, spans).where(gestalt("term", "read") >= least).select("file_name", "ann_no").distinct()
     return spans.join(ok, ["file_name", "ann_no"], "left_anti")
 
 
-def bio_spans_ok(texts: DataFrame, spans: DataFrame, least: float = T.in_place) -> DataFrame:
-    """File and number of the spans that ``bio_tokens`` accepts."""
-    t = texts.select("file_name", F.split(X.blank_punctuation(F.col("text")), " ").alias("w"), X.blank_punctuation(F.col("text")).alias("t"))
-    before = F.substring("t", 1, F.col("start_offset") + 1)
-    term = F.trim(F.replace("term", F.lit("-"), F.lit(" ")))
-    s = spans.join(t, "file_name").select("file_name", "ann_no", term.alias("term"), (F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit("")))).alias("first"), "w").withColumn("n", F.size(F.filter(F.split("term", " "), lambda x: x != "")))
-    s = s.where((F.col("n") > 0) & (F.col("first") + F.col("n") <= F.size("w")))
-    return s.where(gestalt("term", F.array_join(F.slice("w", F.col("first") + 1, F.col("n")), " ")) >= least).select("file_name", "ann_no")
-
-
 def token_confusion(true: DataFrame, predicted: DataFrame, io: bool = False) -> DataFrame:
     """``true_tag, pred_tag, n`` over the tokens both sides have."""
     tag = X.io_tag if io else (lambda c: c)
@@ -176,9 +175,3 @@ def annotation_stats(anns: DataFrame) -> DataFrame:
     d = lambda label, name: F.countDistinct(F.when(F.col("label") == label, F.col("term"))).alias(name)
     rows = anns.rollup("community").agg(F.grouping("community").alias("g"), n("Disorder", "disorders"), n("Chemical or drug", "chemicals"), d("Disorder", "unique_disorders"), d("Chemical or drug", "unique_chemicals"))
     return rows.select(F.when(F.col("g") == 1, "Total").otherwise(F.col("community")).alias("community"), "disorders", "chemicals", "unique_disorders", "unique_chemicals", (F.col("unique_disorders") + F.col("unique_chemicals")).alias("unique_annotated"))
-
-
-def latest(rows: DataFrame, key: str, by: Column) -> DataFrame:
-    """One row per key, the greatest by ``by``."""
-    rn = F.row_number().over(Window.partitionBy(key).orderBy(by.desc()))
-    return rows.withColumn("__rn", rn).where("__rn = 1").drop("__rn")

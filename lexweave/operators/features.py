@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 from lexweave.config import T
 from lexweave.functions import text as X
 from lexweave.functions.similarity import gestalt, may_exceed
+from lexweave.session import cut
 
 
 def corpus_counts(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -115,7 +116,7 @@ def token_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(pick("word"), pick("lemma"))
 
 
-def morphology_row(instances: DataFrame, rows: DataFrame, above: float = T.above_occurrence, exact: bool = False) -> DataFrame:
+def morphology_row(instances: DataFrame, rows: DataFrame, above: float = T.above_occurrence) -> DataFrame:
     """``inst_id, pos, step``: the parser row of a match, by the first of five ways that works.
 
     1. the k-th row whose word is like the candidate's first word, where there are as many rows as occurrences;
@@ -126,23 +127,59 @@ def morphology_row(instances: DataFrame, rows: DataFrame, above: float = T.above
     i = instances.where("file_name is not null and cand_match is not null").select("inst_id", "file_name", "cand_match", first.alias("head"), F.size(F.split("cand_match", " ")).alias("n"), F.size("all_match_occ").alias("n_occ"), F.array_position("all_match_occ", F.col("curr_occurence_offset")).alias("k"))
     w = Window.partitionBy("file_name").orderBy("pos")
     context = rows.select("file_name", "pos", "word", "lemma", F.lag("word").over(w).alias("before"), F.lead("word").over(w).alias("after"), F.lead("word", 2).over(w).alias("after2"))
-    pairs = i.join(context, "file_name")
-    alike = (lambda a, b: F.when(a == b, 1.0).otherwise(0.0)) if exact else (lambda a, b: F.when(may_exceed(a, b, above), gestalt(a, b)).otherwise(0.0))
-    by_word = alike(F.col("word"), F.col("head")) if exact else gestalt("word", "head")  # the fifth way needs it of every row
-    pairs = pairs.withColumn("ws", by_word).withColumn("ls", alike(F.col("lemma"), F.col("head")))
-    mine = Window.partitionBy("inst_id")
-    ordered = mine.orderBy("pos")
-    pairs = pairs.withColumn("wn", F.sum((F.col("ws") > above).cast("int")).over(mine)).withColumn("ln", F.sum((F.col("ls") > above).cast("int")).over(mine))
-    pairs = pairs.withColumn("wk", F.sum((F.col("ws") > above).cast("int")).over(ordered)).withColumn("lk", F.sum((F.col("ls") > above).cast("int")).over(ordered))
+
+    def like(column: str) -> DataFrame:
+        """The rows whose word or lemma is like the head, counted within the instance: few beside all pairs."""
+        near = i.join(context, "file_name").where(may_exceed(F.col(column), F.col("head"), above)).withColumn("sim", gestalt(column, "head")).where(F.col("sim") > above)
+        mine = Window.partitionBy("inst_id")
+        return near.withColumn("hits", F.count(F.lit(1)).over(mine)).withColumn("at", F.row_number().over(mine.orderBy("pos")))
+
+    by_word = like("word")
     spelled = F.when(F.col("n") == 1, F.concat("before", "word")).otherwise(F.concat(F.col("before"), F.col("word"), F.lit(" "), F.col("after")))
     following = F.when(F.col("n") == 1, F.col("word")).when(F.col("n") == 2, F.concat_ws(" ", "word", "after")).otherwise(F.concat_ws(" ", "word", "after", "after2"))
-    following_sim = alike(following, F.col("cand_match"))
-    step = (
-        F.when((F.col("wn") == F.col("n_occ")) & (F.col("ws") > above) & (F.col("wk") == F.col("k")), 1)
-        .when((F.col("ln") == F.col("n_occ")) & (F.col("ls") > above) & (F.col("lk") == F.col("k")), 2)
-        .when((F.col("ws") > above) & (spelled == F.col("cand_match")), 3)
-        .when((F.col("ws") > above) & (following_sim > above), 4)
-        .otherwise(5)
-    )
-    order = F.struct("step", F.when(F.col("step") == 4, -F.col("fs")).when(F.col("step") == 5, -F.col("ws")).otherwise(F.lit(0.0)), F.col("pos"))
-    return pairs.withColumn("fs", following_sim).withColumn("step", step).groupBy("inst_id").agg(F.min_by(F.struct("pos", "step", "word", "lemma"), order).alias("r")).select("inst_id", "r.pos", "r.step", "r.word", "r.lemma")
+    by_word = by_word.withColumn("fs", F.when(may_exceed(following, F.col("cand_match"), above), gestalt(following, "cand_match")).otherwise(0.0))
+    kth = (F.col("hits") == F.col("n_occ")) & (F.col("at") == F.col("k"))
+    step = F.when(kth, 1).when(spelled == F.col("cand_match"), 3).when(F.col("fs") > above, 4)
+    kept = ["inst_id", "pos", "step", "fs", "word", "lemma"]
+    ways = by_word.withColumn("step", step).where("step is not null").select(*kept)
+    ways = ways.unionByName(like("lemma").where(kth).select("inst_id", "pos", F.lit(2).alias("step"), F.lit(0.0).alias("fs"), "word", "lemma"))
+    order = F.struct("step", F.when(F.col("step") == 4, -F.col("fs")).otherwise(F.lit(0.0)), F.col("pos"))
+    sure = cut(ways.groupBy("inst_id").agg(F.min_by(F.struct("pos", "step", "word", "lemma"), order).alias("r")).select("inst_id", "r.*"))
+    # the rest takes the nearest word of the file; a pair of words is compared once
+    rest = i.join(sure, "inst_id", "left_anti").select("inst_id", "file_name", "head").join(rows.select("file_name", "pos", "word", "lemma"), "file_name")
+    known = rest.select("word", "head").distinct().withColumn("sim", gestalt("word", "head"))
+    nearest = rest.join(known, ["word", "head"]).groupBy("inst_id").agg(F.min_by(F.struct("pos", F.lit(5).alias("step"), "word", "lemma"), F.struct(-F.col("sim"), F.col("pos"))).alias("r"))
+    return sure.unionByName(nearest.select("inst_id", "r.*"))
+
+
+# ---- a window model of counts ------------------------------------------------------------------------------------------
+
+
+def window_counts(corpus: DataFrame, terms: DataFrame, text: str = "text", reach: int = 10) -> DataFrame:
+    """``distance, before, term, p``: how often a one-word term stands ``distance`` words behind a word, among all places of that word.
+
+    Only places of the asked terms are opened, so the table grows with their occurrences.
+    """
+    words = corpus.where(F.col(text).isNotNull()).select(F.filter(F.split(X.blank_punctuation(F.col(text)), r"\s+"), lambda w: w != "").alias("w"))
+    totals = words.select(F.explode("w").alias("before")).groupBy("before").agg(F.count(F.lit(1)).alias("total"))
+    asked = terms.select(F.col(terms.columns[0]).alias("term")).where("term is not null and instr(term, ' ') = 0").distinct()
+    around = words.select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("term"), F.slice("w", F.greatest(i - reach + 1, F.lit(1)), F.least(i, F.lit(reach))).alias("b")))).alias("x")).select("x.term", "x.b")
+    places = around.join(asked, "term", "left_semi").select("term", F.size("b").alias("n"), F.posexplode("b").alias("i", "before"))
+    counted = places.groupBy((F.col("n") - F.col("i")).alias("distance"), "before", "term").agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(totals, "before").select("distance", "before", "term", (F.col("n") / F.col("total")).alias("p"))
+
+
+def window_features(instances: DataFrame, counts: DataFrame, windows: tuple[str, ...] = ("match_3_window", "match_6_window", "match_10_window"), key: str = "inst_id") -> DataFrame:
+    """The key and P(match | window) for each window: the nearer a word, the more its own count weighs (half for each step).
+
+    0 for empty windows, for words never seen together, and for terms of several words, which no place of the corpus is.
+    """
+    out = None
+    for name in windows:
+        words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
+        rows = instances.select(key, F.col("cand_match").alias("term"), F.posexplode_outer(words).alias("i", "before"), F.size(words).alias("size"))
+        rows = rows.withColumn("distance", F.col("size") - F.col("i")).join(counts, ["distance", "before", "term"], "left")
+        weight = F.pow(F.lit(0.5), F.col("distance"))
+        one = rows.groupBy(key).agg(F.coalesce(F.try_divide(F.sum(weight * F.coalesce("p", F.lit(0.0))), F.sum(weight)), F.lit(0.0)).alias(f"pred_{name.split('_')[1]}_window"))
+        out = one if out is None else out.join(one, key)
+    return out

@@ -30,7 +30,7 @@ def _grid(value: Column, cell: int, spread: bool) -> Column:
     return F.explode(F.array(at - 1, at, at + 1)) if spread else at
 
 
-def label_matches(instances: DataFrame, anns: DataFrame, exact: bool = False, lemma: bool = False) -> DataFrame:
+def label_matches(instances: DataFrame, anns: DataFrame, lemma: bool = False) -> DataFrame:
     """``inst_id, yi, ann_no, term, label``: the last annotation of the file that begins and ends near the match and is like it.
 
     Spans meet on the file and a grid of offsets as wide as the tolerance, so no pair of distant spans is formed.
@@ -41,9 +41,7 @@ def label_matches(instances: DataFrame, anns: DataFrame, exact: bool = False, le
     i = i.withColumn("cell", _grid(F.col("s"), chars + 1, False))
     a = anns.select("file_name", "ann_no", "term", "start_offset", "end_offset", "label").withColumn("cell", _grid(F.col("start_offset"), chars + 1, True))
     near = i.join(a, ["file_name", "cell"]).where((F.abs(F.col("s") - F.col("start_offset")) <= chars) & (F.abs(F.col("e") - F.col("end_offset")) <= chars))
-    if exact:
-        fits = near.where("cand = term")
-    elif lemma:
+    if lemma:
         fits = near.withColumn("sim", F.greatest(gestalt("term", "cand"), gestalt("term", "kb"))).where(F.col("sim") > T.label)
     else:
         fits = near.where(may_exceed(F.col("term"), F.col("cand"), T.label)).withColumn("sim", gestalt("term", "cand")).where(F.col("sim") >= T.label)

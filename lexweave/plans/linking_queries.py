@@ -112,13 +112,14 @@ def lexicon_union(s: SparkSession, d: str) -> DataFrame:
 
 def located_matches(s: SparkSession, d: str) -> DataFrame:
     posts = table(s, d, "posts")
-    return matching.with_offsets(matching.match_posts(posts, table(s, d, "lexicon")), posts).select("post_id", "pos", "n", "cand_match", "umls_match", "cui", "semantic_type", F.size("all_match_occ").alias("n_occ"), "curr_occurence_offset")
+    return matching.match_posts(posts, table(s, d, "lexicon")).select("post_id", "view", "cand_match", "umls_match", "cui", "semantic_type", "ratio", "n_occ", "curr_occurence_offset")
 
 
 def relocated(s: SparkSession, d: str) -> DataFrame:
+    """Where the matches of the lemmas stand in their posts."""
     posts = table(s, d, "posts")
-    m = matching.with_offsets(matching.match_posts(posts, table(s, d, "lexicon"), "segmented_text"), posts).where("curr_occurence_offset is null")
-    return matching.relocated(m, posts, "segmented_text")
+    found = matching.search(posts, table(s, d, "lexicon")).where(F.col("view") == matching.LEMMAS)
+    return matching.relocated(found, posts).drop("view")
 
 
 def matches_by_community(s: SparkSession, d: str) -> DataFrame:
@@ -155,17 +156,28 @@ def classed_tokens(s: SparkSession, d: str) -> DataFrame:
     return t.select("post_id", "pos", F.col("t.class").alias("class"), "t.token")
 
 
-def _bio(s: SparkSession, d: str, side: str, exact: bool = True) -> DataFrame:
+def _bio(s: SparkSession, d: str, side: str) -> DataFrame:
     spans = gold_spans(s, d) if side == "gold" else predicted_spans(s, d)
-    return evaluate.bio_tokens(gold_texts(s, d), spans, exact)
+    return evaluate.bio_tokens(gold_texts(s, d), spans)
 
 
-def confusion(s: SparkSession, d: str, io: bool = False, exact: bool = True) -> DataFrame:
-    return evaluate.token_confusion(_bio(s, d, "gold", exact), _bio(s, d, "predicted", exact), io)
+def confusion(s: SparkSession, d: str, io: bool = False) -> DataFrame:
+    return evaluate.token_confusion(_bio(s, d, "gold"), _bio(s, d, "predicted"), io)
 
 
-def errors(s: SparkSession, d: str, exact: bool = True) -> DataFrame:
-    return evaluate.entity_errors(gold_spans(s, d), predicted_spans(s, d), exact)
+def errors(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.entity_errors(gold_spans(s, d), predicted_spans(s, d))
+
+
+def morphology(s: SparkSession, d: str) -> DataFrame:
+    files = table(s, d, "posts").where("file_name is not null").groupBy("file_name").agg(F.min_by("words_and_lemmas", "post_id").alias("words_and_lemmas"))
+    return features.morphology_row(current_instances(s, d, "file_name", "cand_match", "all_match_occ", "curr_occurence_offset"), features.lattice_rows(files, "file_name")).select("inst_id", "pos", "step", "word", "lemma")
+
+
+def window_features(s: SparkSession, d: str) -> DataFrame:
+    """Each window's probability of the match, by the counts of the corpus."""
+    i = current_instances(s, d, "cand_match", "match_3_window", "match_6_window", "match_10_window")
+    return features.window_features(i, features.window_counts(table(s, d, "documents"), i.select("cand_match")))
 
 
 def label_inputs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -208,8 +220,7 @@ QUERIES = {
     "kth_occurrence": kth_occurrence,
     "every_occurrence": lambda s, d: matching.every_occurrence(table(s, d, "instances")),
     "kept_spans": lambda s, d: matching.kept_spans(current_instances(s, d, "file_name", "umls_match", "cand_match", "curr_occurence_offset")),
-    "most_specific": lambda s, d: instances.most_specific(current_instances(s, d, "file_name", "cand_match", "curr_occurence_offset"), exact=True).select("inst_id"),
-    "most_specific_gestalt": lambda s, d: instances.most_specific(current_instances(s, d, "file_name", "cand_match", "curr_occurence_offset")).select("inst_id"),
+    "most_specific": lambda s, d: instances.most_specific(current_instances(s, d, "file_name", "cand_match", "umls_match", "curr_occurence_offset")).select("inst_id"),
     "context_windows": lambda s, d: instances.windows(current_instances(s, d, "post_txt", "curr_occurence_offset").where("post_txt is not null and curr_occurence_offset is not null")),
     "instance_views": lambda s, d: current_instances(s, d, "cand_match", "match_eng", "umls_match", "match_type").select("inst_id", instances.match_type(F.col("cand_match"), F.col("match_type")).alias("match_type"), instances.display_name(F.col("match_eng"), F.col("umls_match")).alias("name")),
     "first_posts": lambda s, d: instances.first_of_each(table(s, d, "posts").select("post_id", "post_txt", "lemmas"), ["post_txt", "lemmas"], "post_id").select("post_id"),
@@ -225,8 +236,8 @@ QUERIES = {
     "dependency_tree": dependency,
     "sentence_numbers": lambda s, d: features.sentence_numbers(numbered_rows(s, d)).select("post_id", "pos", "sentence"),
     "token_groups": lambda s, d: features.token_groups(features.sentence_numbers(numbered_rows(s, d)), ["post_id", "sentence"]),
-    "morphology_row": lambda s, d: features.morphology_row(current_instances(s, d, "file_name", "cand_match", "all_match_occ", "curr_occurence_offset"), features.lattice_rows(table(s, d, "posts").where("file_name is not null").groupBy("file_name").agg(F.min_by("words_and_lemmas", "post_id").alias("words_and_lemmas")), "file_name")).select("inst_id", "pos", "step", "word", "lemma"),
-    "labels_exact": lambda s, d: labels.label_matches(*label_inputs(s, d), exact=True),
+    "window_features": window_features,
+    "morphology_row": morphology,
     "labels_gestalt": lambda s, d: labels.label_matches(*label_inputs(s, d)),
     "labels_lemma": lambda s, d: labels.label_matches(*label_inputs(s, d), lemma=True),
     "labels_unmatched": unmatched,
@@ -236,10 +247,9 @@ QUERIES = {
     "labels_missed_terms": lambda s, d: labels.missed_terms(unmatched(s, d), table(s, d, "lexicon").where("source_file = 'not_in_kb'").select("heb").where("heb is not null")),
     "hold_out": lambda s, d: ranking.hold_out(table(s, d, "gold_labels")),
     "forest_scores": forest_scores,
-    "spans_in_place": lambda s, d: evaluate.in_place(gold_spans(s, d), gold_texts(s, d), exact=True).select("file_name", "ann_no", "term", "ok"),
+    "spans_in_place": lambda s, d: evaluate.in_place(gold_spans(s, d), gold_texts(s, d)).select("file_name", "ann_no", "term", "ok"),
     "span_lists": lambda s, d: evaluate.span_lists(gold_spans(s, d)),
     "bio_tokens": lambda s, d: _bio(s, d, "gold"),
-    "bio_tokens_gestalt": lambda s, d: _bio(s, d, "gold", exact=False),
     "tokenisation_problems": lambda s, d: evaluate.tokenisation_problems(gold_texts(s, d), gold_spans(s, d)).select("file_name", "ann_no", "term"),
     "token_confusion": confusion,
     "token_confusion_io": lambda s, d: confusion(s, d, io=True),
@@ -247,8 +257,8 @@ QUERIES = {
     "token_totals": lambda s, d: evaluate.token_totals(confusion(s, d)),
     "entity_errors": lambda s, d: errors(s, d).groupBy("community", "label", "kind").agg(F.count(F.lit(1)).alias("n")),
     "entity_metrics": lambda s, d: evaluate.entity_metrics(errors(s, d), "community", "label"),
-    "entity_metrics_gestalt": lambda s, d: evaluate.entity_metrics(errors(s, d, exact=False), "community", "label"),
     "error_rows": lambda s, d: evaluate.error_rows(errors(s, d)),
+    "term_counters": lambda s, d: evaluate.term_counters(errors(s, d)),
     "top_errors": lambda s, d: evaluate.top_errors(errors(s, d), "FP"),
     "annotation_stats": lambda s, d: evaluate.annotation_stats(gold_spans(s, d).where("community is not null")),
     "value_counts": lambda s, d: current_instances(s, d, "yi").groupBy("yi").agg(F.count(F.lit(1)).alias("n")),

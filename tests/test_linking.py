@@ -27,8 +27,51 @@ def test_priority(lexicon):
 
 def test_matches_posts(spark, lexicon):
     posts = spark.createDataFrame([(1, "יש לי טריימניה וגם sodavene Forte", "יש לי טריימניה וגם sodavene Forte"), (2, None, "x"), (3, "", "")], "post_id long, tokenized_text string, post_txt string")
-    m = matching.with_offsets(matching.match_posts(posts, lexicon), posts).collect()
-    assert {(r.post_id, r.cand_match, r.cui, r.curr_occurence_offset) for r in m} == {(1, "טריימניה", "C1", 6), (1, "sodavene forte", "C2", 19)}
+    m = matching.match_posts(posts, lexicon).collect()
+    assert {(r.post_id, r.view, r.cand_match, r.cui, r.curr_occurence_offset) for r in m} == {(1, 0, "טריימניה", "C1", 6), (1, matching.LATIN, "sodavene forte", "C2", 19)}
+
+
+def test_views_are_united_in_order(spark, lexicon):
+    # the text lacks the form, its lemma brings it; what two views find at one place stands once; tokens are needed
+    rows = [(1, "סבלתי שמהטריימיניהשלכם אתמול", "סבלתי שמהטריימיניהשלכם אתמול", "סבלתי מ טריימיניה אתמול", "סבל טריימיניה אתמול"), (2, "טריימיניה, טריימיניה", "טריימיניה טריימיניה", None, None), (3, "טריימיניה", None, None, "טריימיניה")]
+    posts = spark.createDataFrame(rows, "post_id long, post_txt string, tokenized_text string, segmented_text string, lemmas string")
+    m = sorted((r.post_id, r.view, r.curr_occurence_offset, r.n_occ) for r in matching.match_posts(posts, lexicon).collect())
+    assert m == [(1, 2, 9, 1), (2, 0, 0, 2), (2, 0, 11, 2)]
+
+
+def test_only_the_closest_term_is_tried(spark):
+    # the closest by bigrams fails the ratio, although the next one would pass it
+    terms = spark.createDataFrame([("abcabcabc",), ("abcabd",)], "term string")
+    closest = matching.cosine_candidates(spark.createDataFrame([("abcabc", 1)], "gram string, n int"), terms)
+    assert [(r.term,) for r in closest.collect()] == [("abcabcabc",)]
+    assert matching.good_matches(closest).count() == 0
+
+
+def test_ratio_begins_with_the_term(spark):
+    pair = spark.createDataFrame([("tide", "diet", 1)], "gram string, term string, n int")
+    got = matching.good_matches(pair, above_single=0.3).collect()
+    assert [r.ratio for r in got] == [SequenceMatcher(None, "diet", "tide").ratio()]
+
+
+def test_generic_words(spark):
+    df = spark.createDataFrame([("מחלה", 1), ("תרופה", 1), ("תרופה", 2)], "g string, n int")
+    assert [tuple(r) for r in df.select(matching.is_generic(F.col("g"), F.col("n")), matching.is_generic(F.col("g"), F.col("n"), compat=True)).collect()] == [(True, True), (True, False), (False, False)]
+
+
+def test_windows_part_at_punctuation(spark):
+    i = spark.createDataFrame([(1, "one,two\nthree. four five", 20), (2, "ab cd", 0), (3, "ab cd", 1)], "inst_id long, post_txt string, curr_occurence_offset int")
+    got = {r.inst_id: (r.window_3, r.window_6) for r in instances.windows(i).collect()}
+    assert got == {1: ("two three four", "one two three four"), 2: ("", ""), 3: ("", "")}
+    assert {r.inst_id: r.window_3 for r in instances.windows(i, compat=True).collect()}[2] == "ab c"
+
+
+def test_window_model(spark):
+    corpus = spark.createDataFrame([("a b c. a c",), ("c",), (None,)], "text string")
+    i = spark.createDataFrame([(1, "c", "a b", "a b", "a b"), (2, "c d", "a", "a", "a"), (3, "c", None, "", "x")], "inst_id long, cand_match string, match_3_window string, match_6_window string, match_10_window string")
+    counts = features.window_counts(corpus, i.select("cand_match"))
+    assert {(r.distance, r.before): r.p for r in counts.where("term = 'c'").collect()} == {(1, "b"): 1.0, (2, "a"): 0.5, (1, "a"): 0.5, (2, "c"): 1 / 3, (3, "b"): 1.0, (4, "a"): 0.5}
+    got = {r.inst_id: r for r in features.window_features(i, counts).collect()}
+    assert got[1].pred_3_window == pytest.approx((0.5 * 1.0 + 0.25 * 0.5) / 0.75) and got[2].pred_6_window == 0 and got[3].pred_10_window == 0
 
 
 def cosine_brute(cands, terms):
@@ -53,7 +96,7 @@ def test_cosine_against_brute_force(spark):
 
 def test_relocation(spark):
     posts = spark.createDataFrame([(1, "אכלתי גלידה טובה מאוד", "אכלתי גלידה טובה מאוד")], "post_id long, tokenized_text string, post_txt string")
-    m = spark.createDataFrame([(1, "גלידא טובה")], "post_id long, cand_match string")
+    m = spark.createDataFrame([(1, 1, "גלידא טובה")], "post_id long, view int, cand_match string")
     assert [(r.all_match_occ, r.curr_occurence_offset) for r in matching.relocated(m, posts).collect()] == [([6], 6)]
 
 
@@ -64,10 +107,13 @@ def test_kept_spans(spark):
 
 
 def test_most_specific(spark):
-    rows = [(1, "f", "aaa", 10), (2, "f", "aaa bbb", 10), (3, "f", "bbb", 14), (4, "f", "aaa", 90), (5, "f", "aaa bb", 90), (6, None, "aaa", 10)]
-    df = spark.createDataFrame(rows, "inst_id long, file_name string, cand_match string, curr_occurence_offset int")
-    for exact in (True, False):
-        assert {r.inst_id for r in instances.most_specific(df, exact).collect()} == {2, 4, 5, 6} | ({3} if False else set())
+    rows = [
+        (1, "f", "aaa", 10), (2, "f", "aaa bbb", 10), (3, "f", "bbb", 14), (4, "f", "aaa", 90), (5, "f", "aaa bb", 90), (6, None, "aaa", 10),
+        # a two-word and a three-word match that end together: what follows the first two words is one word only
+        (7, "g", "bbb ccc", 4), (8, "g", "aaa bbb ccc", 0), (9, "g", "aaa", 0), (10, "h", "ccc", 8), (11, "h", "aaa bbb ccc", 0), (12, "h", None, 0),
+    ]
+    df = spark.createDataFrame([(i, f, c, c, s) for i, f, c, s in rows], "inst_id long, file_name string, umls_match string, cand_match string, curr_occurence_offset int")
+    assert {r.inst_id for r in instances.most_specific(df).collect()} == {2, 4, 5, 6, 7, 8, 10, 11, 12}
 
 
 def test_labels(spark):
@@ -130,9 +176,9 @@ def test_entity_and_token_metrics(spark):
     ddl = "{} string, file_name string, term string, start_offset int, end_offset int, label string, community string, ann_no long"
     gold = spark.createDataFrame([("g1", "f", "aa bb", 0, 5, "Disorder", "c", 1), ("g2", "f", "cccc", 9, 13, "Disorder", "c", 2)], ddl.format("gold_id"))
     pred = spark.createDataFrame([("p1", "f", "aa bb", 2, 7, "Disorder", "c", 1), ("p2", "f", "cccc", 12, 16, "Disorder", "c", 2), ("p3", "f", "aa bb", 0, 5, "Chemical or drug", "c", 3)], ddl.format("pred_id"))
-    for exact in (True, False):
-        e = evaluate.entity_errors(gold, pred, exact)
-        assert Counter(r.kind for r in e.collect()) == {"TP": 1, "FN": 1, "FP": 2}
+    e = evaluate.entity_errors(gold, pred)
+    assert Counter(r.kind for r in e.collect()) == {"TP": 1, "FN": 1, "FP": 2}
+    assert {(r.kind, r.term): r.places for r in evaluate.term_counters(e).collect()}["FP", "cccc"] == ["f:Disorder:12"]
     m = evaluate.entity_metrics(e, "community").first()
     assert (m.tp, m.fp, m.fn) == (1, 2, 1) and abs(m.precision - 1 / 3) < 1e-9 and m.tp + m.fn == gold.count()
     texts = spark.createDataFrame([("f", "aa bb xx cccc")], "file_name string, text string")
