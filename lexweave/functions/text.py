@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -149,11 +151,25 @@ def classed_tokens(text: Column) -> Column:
     return F.transform(tokens, lambda t: F.struct(kind(t).alias("class"), t.alias("token")))
 
 
+@cache
+def digraphs() -> dict[str, str]:
+    """By rule: Hebrew characters that stand for two letters, with these: the digraphs by their names, ligatures by their decomposition."""
+    out = {}
+    for c in map(chr, range(0x05F0, 0x05F3)):
+        first, second = unicodedata.name(c).split(" YIDDISH ")[1].split(" ")
+        out[c] = "".join(unicodedata.lookup(f"HEBREW LETTER {x}") for x in ([second, second] if first == "DOUBLE" else [first, second]))
+    for c in map(chr, range(0xFB1D, 0xFB50)):
+        letters = unicodedata.normalize("NFKC", c)
+        if "LIGATURE" in unicodedata.name(c, "") and sum(x.isalpha() for x in letters) > 1:
+            out[c] = letters
+    return out
+
+
 def one_spelling(text: Column) -> Column:
     """Hebrew digraphs and ligatures as letters, without joiners."""
-    for a, b in (("װ", "וו"), ("ױ", "וי"), ("ײ", "יי"), ("ﭏ", "אל"), ("‍", "")):
+    for a, b in digraphs().items():
         text = F.replace(text, F.lit(a), F.lit(b))
-    return text
+    return F.replace(text, F.lit("\u200d"), F.lit(""))
 
 
 def sentences(text: Column, most: int = 150, chunk: int = 140) -> Column:
@@ -180,9 +196,3 @@ def sentences(text: Column, most: int = 150, chunk: int = 140) -> Column:
         return F.transform(F.sequence(F.lit(1), many), lambda k: F.array_join(F.slice(words, (s.b + (k - 1) * chunk + 1).cast("int"), F.when(k == many, s.e - s.b - (k - 1) * chunk).otherwise(F.lit(chunk)).cast("int")), " "))
 
     return let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), body)
-
-
-def longest(words: Column) -> Column:
-    """The longest word, the first of several."""
-    best = F.aggregate(words, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (F.length(x) > F.length(a)), x).otherwise(a))
-    return best

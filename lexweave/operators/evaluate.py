@@ -164,6 +164,12 @@ def weighted_average(rows: DataFrame, metrics: tuple[str, ...], weight: str) ->
     return rows.agg(*(F.try_divide(F.sum(F.col(m) * F.col(weight)), F.sum(weight)).alias(m) for m in metrics), F.sum(weight).alias(weight))
 
 
+def report(rows: DataFrame, name: str, metrics: tuple[str, ...], weight: str, label: str = "weighted avg") -> DataFrame:
+    """The rows of a report and, under ``label``, their weighted average; ``name`` is the column that names a row."""
+    mean = weighted_average(rows, metrics, weight).withColumn(name, F.lit(label))
+    return rows.select(name, *metrics, weight).unionByName(mean.select(name, *metrics, weight))
+
+
 def filtered_out(scored: DataFrame, *keys: str, predicted: str = "hard_y_pred") -> DataFrame:
     """Share of candidates that the model drops, and as a cut percentage."""
     return scored.groupBy(*keys).agg(F.avg(1.0 - F.col(predicted)).alias("share")).withColumn("percent", X.percent(F.col("share")))

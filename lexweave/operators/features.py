@@ -93,6 +93,12 @@ def missing_terms(terms: DataFrame, dictionary: DataFrame, community: Column, te
     return rows.join(dictionary.select("term"), "term", "left_anti").select(F.concat_ws("<>", "community", "term").alias("line"))
 
 
+def missing_counts(terms: DataFrame, dictionary: DataFrame, term: str = "match_eng") -> DataFrame:
+    """``term, n``: how many rows ask for each term without a score."""
+    rows = terms.where(F.col(term).isNotNull()).groupBy(F.col(term).alias("term")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(dictionary.select("term"), "term", "left_anti")
+
+
 # ---- morphology --------------------------------------------------------------------------------------------------------
 
 

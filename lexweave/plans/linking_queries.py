@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lexweave.config import FEATURES
 from lexweave.functions import lattices
 from lexweave.functions import text as X
-from lexweave.operators import evaluate, features, instances, labels, matching, model, ranking
+from lexweave.operators import assembly, evaluate, features, instances, labels, matching, model, ranking
+from lexweave.session import cut
 from lexweave.sources import readers
 from lexweave.sources.tables import table
 
@@ -196,6 +197,42 @@ def unmatched_fuzzy(s: SparkSession, d: str) -> DataFrame:
     return labels.unmatched_fuzzy(a, found.join(a.select("file_name").distinct(), "file_name", "left_semi"))
 
 
+def instances_from_posts(s: SparkSession, d: str) -> DataFrame:
+    return assembly.instances_of(table(s, d, "posts"), table(s, d, "lexicon"))
+
+
+def assembled(s: SparkSession, d: str) -> DataFrame:
+    """Every match of the posts with all its features and its weak label."""
+    rows = cut(instances_from_posts(s, d))
+    outside = table(s, d, "lexicon").where("source_file = 'not_in_kb'").select(F.lower("str").alias("t"))
+    whole = assembly.assembled(rows, table(s, d, "documents"), dictionary(s, d), outside, assembly.weak_labels(rows, table(s, d, "gold_labels")))
+    return assembly.checked(rows, whole)
+
+
+def judged_posts(s: SparkSession, d: str) -> DataFrame:
+    """From posts to metrics: the forest learns on the first annotated files, and its decisions on the others are compared with the annotations."""
+    gold = gold_spans(s, d)
+    rows = cut(assembled(s, d).join(ranking.hold_out(table(s, d, "gold_labels")), "file_name"))
+    groups = [{"semantic_type": "Disorder"}, {"semantic_type": "Chemical or drug"}]
+    models = model.train_groups(rows.where("split = 'train'"), groups)
+    out = model.score_groups(models, rows.where("split = 'test'"))
+    scored = model.tuned(out, out, "semantic_type")
+    predicted = assembly.spans_of(scored).withColumn("community", community(F.col("file_name")))
+    tested = gold.join(rows.where("split = 'test'").select("file_name").distinct(), "file_name", "left_semi")
+    return evaluate.entity_metrics(evaluate.entity_errors(tested, predicted), "community", "label")
+
+
+def candidate_spans(s: SparkSession, d: str) -> DataFrame:
+    """All candidates of the annotated files, whatever a model says."""
+    i = current_instances(s, d, "file_name", "cand_match", "curr_occurence_offset", "semantic_type").join(table(s, d, "gold_labels").select("file_name").distinct(), "file_name", "left_semi")
+    return assembly.spans_of(i, filtered=False).withColumn("community", community(F.col("file_name")))
+
+
+def entity_report(s: SparkSession, d: str) -> DataFrame:
+    rows = evaluate.entity_metrics(errors(s, d).where("community is not null"), "community").withColumn("support", F.col("tp") + F.col("fn"))
+    return evaluate.report(rows, "community", ("precision", "recall", "f1"), "support")
+
+
 QUERIES = {
     "matches_by_community": matches_by_community,
     "post_matches_located": located_matches,
@@ -222,6 +259,9 @@ QUERIES = {
     "kept_spans": lambda s, d: matching.kept_spans(current_instances(s, d, "file_name", "umls_match", "cand_match", "curr_occurence_offset")),
     "most_specific": lambda s, d: instances.most_specific(current_instances(s, d, "file_name", "cand_match", "umls_match", "curr_occurence_offset")).select("inst_id"),
     "context_windows": lambda s, d: instances.windows(current_instances(s, d, "post_txt", "curr_occurence_offset").where("post_txt is not null and curr_occurence_offset is not null")),
+    "instances_from_posts": lambda s, d: instances_from_posts(s, d).drop("inst_id", "post_txt"),
+    "assembled_rows": lambda s, d: assembled(s, d).drop("inst_id"),
+    "judged_posts": judged_posts,
     "instance_views": lambda s, d: current_instances(s, d, "cand_match", "match_eng", "umls_match", "match_type").select("inst_id", instances.match_type(F.col("cand_match"), F.col("match_type")).alias("match_type"), instances.display_name(F.col("match_eng"), F.col("umls_match")).alias("name")),
     "first_posts": lambda s, d: instances.first_of_each(table(s, d, "posts").select("post_id", "post_txt", "lemmas"), ["post_txt", "lemmas"], "post_id").select("post_id"),
     "labelled_posts": lambda s, d: readers.labelled_posts(table(s, d, "posts"), table(s, d, "gold_labels")).select("post_id", "file_name"),
@@ -232,6 +272,7 @@ QUERIES = {
     "window_probability": window_probabilities,
     "relatedness": relatedness,
     "missing_terms": missing_terms,
+    "missing_counts": lambda s, d: features.missing_counts(table(s, d, "instances").select(F.lower("match_eng").alias("match_eng")), dictionary(s, d).where("score >= 0")),
     "lattice": lattice,
     "dependency_tree": dependency,
     "sentence_numbers": lambda s, d: features.sentence_numbers(numbered_rows(s, d)).select("post_id", "pos", "sentence"),
@@ -257,6 +298,8 @@ QUERIES = {
     "token_totals": lambda s, d: evaluate.token_totals(confusion(s, d)),
     "entity_errors": lambda s, d: errors(s, d).groupBy("community", "label", "kind").agg(F.count(F.lit(1)).alias("n")),
     "entity_metrics": lambda s, d: evaluate.entity_metrics(errors(s, d), "community", "label"),
+    "baseline_metrics": lambda s, d: evaluate.entity_metrics(evaluate.entity_errors(gold_spans(s, d), candidate_spans(s, d)), "community", "label"),
+    "entity_report": entity_report,
     "error_rows": lambda s, d: evaluate.error_rows(errors(s, d)),
     "term_counters": lambda s, d: evaluate.term_counters(errors(s, d)),
     "top_errors": lambda s, d: evaluate.top_errors(errors(s, d), "FP"),

@@ -35,14 +35,16 @@ def _bio(name: str, spans: str) -> str:
 
 
 _CONFUSION = f"WITH RECURSIVE {_GOLD}, {_PRED}, {_bio('gb', 'gold')}, {_bio('pb', 'pred')}, conf AS (SELECT gb.tag AS true_tag, pb.tag AS pred_tag, count(*) AS n FROM gb JOIN pb USING (file_name, idx) GROUP BY ALL)"
-_ERRORS = f"""WITH RECURSIVE {_GOLD}, {_PRED},
-  near AS (SELECT gold_id, pred_id, g.term AS gt, p.term AS pt FROM gold g JOIN pred p ON g.file_name = p.file_name AND g.label = p.label AND abs(g.start_offset - p.start_offset) <= 2),
+_COMPARED = f"""  near AS (SELECT gold_id, pred_id, g.term AS gt, p.term AS pt FROM gold g JOIN pred p ON g.file_name = p.file_name AND g.label = p.label AND abs(g.start_offset - p.start_offset) <= 2),
   both_ways AS (SELECT gt AS x, pt AS y FROM near UNION SELECT pt, gt FROM near),
   {gestalt('ratios', 'both_ways')},
   gold_hits AS (SELECT gold_id FROM near JOIN ratios ON x = gt AND y = pt WHERE ratio > 0.8::DOUBLE),
   pred_hits AS (SELECT pred_id FROM near JOIN ratios ON x = pt AND y = gt WHERE ratio > 0.8::DOUBLE),
   errors AS (SELECT community, file_name, label, term, start_offset, CASE WHEN gold_id IN (SELECT gold_id FROM gold_hits) THEN 'TP' ELSE 'FN' END AS kind FROM gold
     UNION ALL SELECT community, file_name, label, term, start_offset, 'FP' FROM pred WHERE pred_id NOT IN (SELECT pred_id FROM pred_hits))"""
+_ERRORS = f"WITH RECURSIVE {_GOLD}, {_PRED}, {_COMPARED}"
+_BASELINE = f"WITH RECURSIVE {_GOLD}, {_PRED.replace('pred_10_window > 0.3 AND', '')}, {_COMPARED}"
+_METRICS = "k AS (SELECT {0}, count(*) FILTER (kind = 'TP') AS tp, count(*) FILTER (kind = 'FP') AS fp, count(*) FILTER (kind = 'FN') AS fn FROM errors GROUP BY ALL), r AS (SELECT *, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tp::DOUBLE / nullif(tp + fn, 0) AS recall, 2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0) AS f1 FROM k)"
 _LABELS = f"""WITH RECURSIVE {_ANNS}, {_CURRENT},
   near AS (SELECT i.inst_id, i.file_name, a.ann_no, a.term, a.label, a.start_offset, lower(i.cand_match) AS cand, lower(i.umls_match) AS kb FROM cur i JOIN anns a ON a.file_name = i.file_name
     AND abs(i.curr_occurence_offset - a.start_offset) <= @chars AND abs(i.curr_occurence_offset + length(i.cand_match) - a.end_offset) <= @chars),
@@ -139,6 +141,15 @@ SQL = {
   SELECT inst_id FROM cur WHERE inst_id NOT IN (SELECT inst_id FROM parts JOIN ratios USING (x, y) WHERE ratio > 0.88::DOUBLE)""",
     "context_windows": f"""WITH {_CURRENT}, w AS (SELECT inst_id, list_filter(string_split(substr({_blank('post_txt')}, 1, greatest(curr_occurence_offset - 1, 0)), ' '), lambda x: x <> '') AS w FROM cur WHERE post_txt IS NOT NULL AND curr_occurence_offset IS NOT NULL)
   SELECT inst_id, {', '.join(f"array_to_string(w[greatest(len(w) - {k - 1}, 1) : len(w)], ' ') AS window_{k}" for k in (3, 6, 10))} FROM w""",
+    "instances_from_posts": f"""{matches(_TYPE.replace('tui', 'm.tui'))},
+  m AS (SELECT *, row_number() OVER () AS id, string_split(umls_match, ' ') AS w, curr_occurence_offset AS s, curr_occurence_offset + length(cand_match) AS e FROM matches),
+  near_m AS (SELECT a.id, a.umls_match AS y, array_to_string(b.w[1 : len(a.w)], ' ') AS front, array_to_string(b.w[len(a.w) + 1 :], ' ') AS back FROM m a JOIN m b ON a.post_id = b.post_id AND len(b.w) > len(a.w) AND (abs(a.s - b.s) <= 2 OR abs(a.e - b.e) <= 2) AND length(b.w[len(a.w) + 1]) >= 3),
+  parts AS (SELECT id, front AS x, y FROM near_m UNION SELECT id, back, y FROM near_m), {gestalt('covering', 'parts')},
+  specific AS (SELECT m.*, list_filter(string_split(substr(t, 1, greatest(s - 1, 0)), ' '), lambda x: x <> '') AS before FROM m JOIN shown USING (post_id) WHERE id NOT IN (SELECT id FROM parts JOIN covering USING (x, y) WHERE ratio > 0.88::DOUBLE))
+  SELECT post_id, posts.file_name, cand_match, umls_match, CASE WHEN view < 4 THEN coalesce(f.name, umls_match) ELSE umls_match END AS match_eng,
+    CASE WHEN regexp_matches(cand_match, '[A-Za-z]') THEN 'tokenized_text' ELSE ['post_txt', 'tokenized_text', 'segmented_text', 'lemmas', 'tokenized_text'][view + 1] END AS match_type, f.tui AS match_tui, semantic_type, curr_occurence_offset,
+    {', '.join(f"array_to_string(before[greatest(len(before) - {k - 1}, 1) : len(before)], ' ') AS match_{k}_window" for k in (3, 6, 10))}
+  FROM specific JOIN posts USING (post_id) JOIN forms f ON f.term = umls_match AND f.eng = (view = 4)""",
     "instance_views": f"WITH {_CURRENT} SELECT inst_id, CASE WHEN regexp_matches(cand_match, '[A-Za-z]') THEN 'tokenized_text' ELSE match_type END AS match_type, coalesce(match_eng, umls_match) AS name FROM cur",
     "first_posts": "SELECT min(post_id) AS post_id FROM posts GROUP BY post_txt, lemmas",
     "labelled_posts": "SELECT post_id, file_name FROM posts WHERE trim(post_txt, ' ') IN (SELECT trim(text, ' ') FROM gold_labels)",
@@ -148,6 +159,7 @@ SQL = {
     "bigram_feature": f"WITH {_TRIPLES}, {_CURRENT}, q AS (SELECT inst_id, cand_match AS w3, string_split(match_3_window, ' ')[2:] AS c FROM cur) SELECT q.inst_id, coalesce(lm.p, 0) AS pred_2_window FROM q LEFT JOIN lm ON len(q.c) = 2 AND lm.w1 = q.c[1] AND lm.w2 = q.c[2] AND lm.w3 = q.w3",
     "relatedness": f"WITH {_DICT}, t AS (SELECT DISTINCT lower(str) AS term FROM lexicon WHERE str IS NOT NULL) SELECT t.term, coalesce(CASE WHEN t.term IN (SELECT lower(str) FROM lexicon WHERE source_file = 'not_in_kb' AND str IS NOT NULL) THEN 1.0::DOUBLE END, a.score, b.score, -1.0::DOUBLE) AS relatedness FROM t LEFT JOIN dict a ON a.term = t.term LEFT JOIN dict b ON b.term = trim(string_split(t.term, '(')[1], ' ')",
     "missing_terms": f"WITH {_DICT} SELECT concat_ws('<>', community, term) AS line FROM (SELECT DISTINCT {_COMMUNITY.format('file_name')} AS community, lower(match_eng) AS term FROM instances WHERE file_name IS NOT NULL AND match_eng IS NOT NULL) WHERE term NOT IN (SELECT term FROM dict WHERE score >= 0)",
+    "missing_counts": f"WITH {_DICT} SELECT lower(match_eng) AS term, count(*) AS n FROM instances WHERE match_eng IS NOT NULL AND lower(match_eng) NOT IN (SELECT term FROM dict WHERE score >= 0) GROUP BY lower(match_eng)",
     "lattice": f"SELECT post_id, CAST(i AS INTEGER) AS line_no, string_split(x, ' ')[-1] AS word, coalesce(nullif(string_split(x, ' ')[1], ''), string_split(x, ' ')[-1]) AS lemma, 'FM' AS gen, 'S' AS num_s_p, CAST(i + 1 AS INTEGER) AS num_last FROM ({_LATTICE})",
     "dependency_tree": f"SELECT post_id, CAST(i AS INTEGER) AS line_no, CAST(i + 1 AS VARCHAR) AS num, string_split(x, ' ')[-1] AS word, string_split(x, ' ')[-1] AS lemma, 'obj' AS dependency_part, '-1' AS dependency_arc_2 FROM ({_LATTICE})",
     "sentence_numbers": f"WITH {_SENTENCE} SELECT post_id, pos, sentence FROM sn",
@@ -176,6 +188,8 @@ SQL = {
     "token_totals": f"{_CONFUSION} SELECT sum(CASE WHEN true_tag = pred_tag THEN n ELSE 0 END)::DOUBLE / sum(n) AS accuracy, CAST(sum(CASE WHEN true_tag = 'O' AND pred_tag = 'O' THEN n ELSE 0 END) AS BIGINT) AS tn FROM conf",
     "entity_errors": f"{_ERRORS} SELECT community, label, kind, count(*) AS n FROM errors GROUP BY ALL",
     "entity_metrics": f"{_ERRORS}, k AS (SELECT community, label, count(*) FILTER (kind = 'TP') AS tp, count(*) FILTER (kind = 'FP') AS fp, count(*) FILTER (kind = 'FN') AS fn FROM errors GROUP BY ALL) SELECT community, label, tp, fp, fn, tp::DOUBLE / nullif(tp + fp, 0) AS precision, tp::DOUBLE / nullif(tp + fn, 0) AS recall, 2 * tp::DOUBLE / nullif(2 * tp + fp + fn, 0) AS f1 FROM k",
+    "baseline_metrics": f"{_BASELINE}, {_METRICS.format('community, label')} SELECT * FROM r",
+    "entity_report": f"{_ERRORS}, {_METRICS.format('community')} SELECT community, precision, recall, f1, tp + fn AS support FROM r WHERE community IS NOT NULL UNION ALL SELECT 'weighted avg', {', '.join(f'sum({m} * (tp + fn)) / nullif(sum(tp + fn), 0)' for m in ('precision', 'recall', 'f1'))}, CAST(sum(tp + fn) AS BIGINT) FROM r WHERE community IS NOT NULL",
     "error_rows": f"{_ERRORS} SELECT community, file_name, coalesce(string_agg(term, '|' ORDER BY term) FILTER (kind = 'FN'), '') AS fn, coalesce(string_agg(term, '|' ORDER BY term) FILTER (kind = 'FP'), '') AS fp, count(*) FILTER (kind <> 'TP') AS n_errors FROM errors GROUP BY community, file_name HAVING count(*) FILTER (kind <> 'TP') > 0",
     "term_counters": f"{_ERRORS} SELECT community, kind, term, count(*) AS n, list(concat_ws(':', file_name, label, start_offset) ORDER BY concat_ws(':', file_name, label, start_offset)) AS places FROM errors GROUP BY community, kind, term",
     "top_errors": f"{_ERRORS} SELECT term, count(*) AS n, count(DISTINCT file_name) AS n_files FROM errors WHERE kind = 'FP' GROUP BY term ORDER BY n DESC, term LIMIT 10",

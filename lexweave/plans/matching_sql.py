@@ -48,8 +48,8 @@ _VIEWS = f"""shown AS (SELECT post_id, {blank('post_txt')} AS t, tokenized_text,
   view_grams AS (SELECT * FROM (SELECT post_id, view, i, n, array_to_string(p[i + 1 : i + n], ' ') AS gram
     FROM (SELECT post_id, view, list_concat(l, ['PAD', 'PAD']) AS p, unnest(range(len(l))) AS i FROM view_words), (SELECT unnest([1, 2, 3]) AS n)) WHERE NOT (n = 1 AND gram IN ({', '.join(repr(w) for w in GENERIC_WORDS)})))"""
 
-_FORMS = """forms AS (SELECT false AS eng, heb AS term, cui, tui FROM lexicon WHERE heb <> '' QUALIFY row_number() OVER (PARTITION BY heb ORDER BY CASE WHEN stt = 'PF' THEN 0 ELSE 1 END, lex_idx) = 1
-    UNION ALL SELECT true, lower(str), cui, tui FROM lexicon WHERE str <> '' QUALIFY row_number() OVER (PARTITION BY lower(str) ORDER BY lex_idx) = 1)"""
+_FORMS = """forms AS (SELECT false AS eng, heb AS term, cui, tui, str AS name FROM lexicon WHERE heb <> '' QUALIFY row_number() OVER (PARTITION BY heb ORDER BY CASE WHEN stt = 'PF' THEN 0 ELSE 1 END, lex_idx) = 1
+    UNION ALL SELECT true, lower(str), cui, tui, NULL FROM lexicon WHERE str <> '' QUALIFY row_number() OVER (PARTITION BY lower(str) ORDER BY lex_idx) = 1)"""
 
 #: From the posts to ``hits`` (post_id, view, cand, term, ratio, times, first place).
 _SEARCH = f"""WITH RECURSIVE {_VIEWS}, {_FORMS},

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.functions import text as X
 
 ANNOTATIONS = "array<struct<term string, start_offset int, end_offset int, label string>>"
 LEXICON = ("cui", "tui", "stt", "str", "heb")
@@ -52,16 +51,33 @@ def post_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def relatedness_file(spark: SparkSession, path: str) -> DataFrame:
-    """``value, line_no`` of a dictionary file, for ``features.relatedness_lines``."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value")).where("value <> ''")
+    """``value, line_no`` of a dictionary file, for ``features.relatedness_lines``. Large files are read in blocks; ``line_no`` orders lines over these."""
+    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("line_no"))
+    return lines.where("value <> ''")
 
 
-def labelled_posts(posts: DataFrame, gold: DataFrame) -> DataFrame:
-    """Posts whose text is annotated; texts are compared without the spaces around them."""
-    return posts.join(gold.select(F.trim("text").alias("t")).distinct(), F.trim(posts["post_txt"]) == F.col("t"), "left_semi")
+def feature_files(spark: SparkSession, instances: str, *features: str, key: tuple[str, ...] = ("row_idx", "cand_match", "umls_match", "curr_occurence_offset")) -> DataFrame:
+    """The instances' CSV joined with the feature CSVs on the common key; columns that both have are taken from the first."""
+    out = csv(spark, instances)
+    for path in features:
+        one = csv(spark, path)
+        out = out.join(one.select(*key, *(c for c in one.columns if c not in out.columns)), list(key), "left")
+    return out
 
 
-def same_text(a: DataFrame, b: DataFrame, key: str, left: str, right: str) -> DataFrame:
-    """Keys whose texts differ once runs of spaces count as one."""
-    j = a.select(key, X.squeezed_spaces(F.col(left)).alias("l")).join(b.select(key, X.squeezed_spaces(F.col(right)).alias("r")), key)
-    return j.where(~F.col("l").eqNullSafe(F.col("r"))).select(key)
+def train_and_test(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a table written with the partition column ``split``; only the asked side's folder is read."""
+    rows = spark.read.parquet(path)
+    return rows.where("split = 'train'"), rows.where("split = 'test'")
+
+
+def labelled_posts(posts: DataFrame, gold: DataFrame, expected: int | None = None, within: int = 2) -> DataFrame:
+    """Posts whose text is annotated; texts are compared without the spaces around them.
+
+    With ``expected`` the query fails where there are more than ``within`` posts more or less.
+    """
+    found = posts.join(gold.select(F.trim("text").alias("t")).distinct(), F.trim(posts["post_txt"]) == F.col("t"), "left_semi")
+    if expected is None:
+        return found
+    right = found.agg(F.assert_true(F.abs(F.count(F.lit(1)) - expected) <= within, F.lit(f"not about {expected} posts with labels")).alias("ok"))  # one row
+    return found.crossJoin(F.broadcast(right)).where("ok is null").drop("ok")

@@ -31,3 +31,8 @@ def lines(df: DataFrame, path: str, column: str = "line") -> None:
 def report(df: DataFrame, path: str) -> None:
     """A small report in one file."""
     json_columns(df).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def json(df: DataFrame, path: str) -> None:
+    """One JSON object per line, nested columns as they are."""
+    df.write.mode("overwrite").json(path)

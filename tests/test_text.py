@@ -67,7 +67,6 @@ def test_small_functions(spark):
     assert one(spark, "The MS אב is", X.english_text) == "the"
     assert one(spark, "a bb 3 ד.כן", X.usable_tokens) == ["bb", "3", "כן"]
     assert one(spark, "a1 b--c", X.cleaned) == "a b c"
-    assert one(spark, "cd ab abc xyz", lambda c: X.longest(F.split(c, " "))) == "abc"
     assert one(spark, "B-D", X.io_tag) == "D" and one(spark, "O", X.io_tag) == "O"
     assert one(spark, "a b c d", lambda c: X.last_words(F.split(c, " "), 3)) == "b c d"
     assert one(spark, "a b", lambda c: X.last_words(F.split(c, " "), 3)) == "a b"
