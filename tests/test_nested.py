@@ -77,7 +77,7 @@ def test_last_delivery_wins_and_tables_link(spark):
     old, new = json.dumps([MATCH]), json.dumps([MATCH | {"alternatives": [{"cui": "C1", "sim": 0.1, "sources": [{"stt": "SY", "rank": 2}]}]}])
     df = spark.createDataFrame([(1, old, 1, "x"), (1, new, 2, "y")], "rec_id long, matches_found string, loaded_at int, match_no string")
     ix = nested.index_matches(df)
-    assert nested.records_table(ix).collect() == [(1, True, 1)]
+    assert nested.records_table(ix).collect() == [(1, True, 1, 0)]
     m = nested.matches_table(ix).first()
     assert (m.cand_match, m.umls_match, m.sim, m.n_occ, m.n_alternatives) == ('a"b', "ä", 0.5, 2, 1)
     assert [tuple(r) for r in nested.occurrences_table(ix).orderBy("occ_no").collect()] == [(1, 1, 1, 1), (1, 1, 2, 2)]
@@ -90,3 +90,29 @@ def test_empty_table_and_long_text(spark):
     assert nested.index_matches(spark.createDataFrame([], schema)).count() == 0
     long = json.dumps([MATCH] * 20_000)
     assert nested.occurrences_table(nested.index_matches(spark.createDataFrame([(1, long, 0)], schema), fields=False)).count() == 40_000
+
+
+def test_no_member_is_lost(spark):
+    rec = [MATCH | {"new": {"a": [1, None]}, "line": None, "n": 7, "all_match_occ": [2_000_000_000, 3_000_000_000, 5]}]
+    df = spark.createDataFrame([(1, json.dumps(rec), 0), (2, "[", 0)], "rec_id long, matches_found string, loaded_at int")
+    ix = nested.index_matches(df)
+    assert {r.key: r.value for r in nested.members_table(ix).collect()} == {"new": '{"a": [1, null]}', "line": None, "n": "7"}
+    assert [tuple(r) for r in nested.occurrences_table(ix).orderBy("occ_no").collect()] == [(1, 1, 1, 2_000_000_000), (1, 1, 3, 5)]
+    assert sorted(tuple(r) for r in nested.records_table(ix).collect()) == [(1, True, 1, 1), (2, False, 0, 0)]
+    nodes = {r.node_no: r for r in nested.nodes_table(df).collect()}
+
+    def rebuilt(no):
+        n, below = nodes[no], [x for x in sorted(nodes) if nodes[x].parent_no == no]
+        if n.kind == "array":
+            assert [nodes[x].item_no for x in below] == list(range(len(below)))
+            return [rebuilt(x) for x in below]
+        return {nodes[x].key: rebuilt(x) for x in below} if n.kind == "object" else n.value if n.kind == "string" else json.loads(n.value or "null")
+
+    assert rebuilt(1) == rec
+
+
+def test_another_shape(spark):
+    shape = nested.Shape(marks=("id",), texts=("id",), numbers=("w",), places="at", locating=("from",), below=(nested.Level("parts", ("p",)),))
+    df = spark.createDataFrame([(1, '{"rows": [{"id": "x", "w": 1e-2, "at": {"from": 4}, "parts": [{"p": "q"}, {}]}, {"id": 3}]}', 0)], "rec_id long, matches_found string, loaded_at int")
+    got = nested.index_matches(df, shape=shape).first().matches
+    assert [(m.match_no, m.id, m.w, m.occ, [p.p for p in m.parts]) for m in got] == [(1, "x", 0.01, [4], ["q", None]), (2, "3", None, [], [])]
