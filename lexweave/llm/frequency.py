@@ -183,23 +183,22 @@ def _sized(trie: BurstTrie, size: int = 20_000) -> Iterator[list[tuple[str, int,
         yield out
 
 
-def count_terms(df: DataFrame, term: str = "cand_match", file: str = "file_name", per_task: int = 500_000) -> DataFrame:
+def count_terms(df: DataFrame, term: str = "cand_match", file: str = "file_name", pieces: int | None = None) -> DataFrame:
     """``term, n_rows, n_files`` for every distinct non-null term.
 
-    The router is the set of prefixes under which more than ``per_task`` entries stand over all tasks; there are at most
-    entries / ``per_task`` of them for each length up to 64, so it is small at any size and its bound is checked.
+    The router is the set of prefixes under which more than one of ``pieces`` parts of all entries stand (by default four for
+    each shuffle partition): fewer than ``pieces`` of each length up to the depth of a trie, whatever the size of the table.
     """
     spark = df.sparkSession
+    pieces = pieces or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cells = df.where(F.col(term).isNotNull() & F.col(file).isNotNull()).groupBy(F.col(term).alias("term"), F.col(file).alias("file")).agg(F.count(F.lit(1)).alias("n"))
     blocks = cut(cells.select("term", "n").mapInPandas(_count, _BLOCK_DDL))
     entries = blocks.select("prefix", F.size("rest").alias("n"))
-    total = entries.agg(F.sum("n")).first()[0] or 0
-    heavy: frozenset[str] = frozenset()
-    if total > per_task:
-        # weight of every prefix of a leaf's path; those above the bound are passed through, one character deeper
-        paths = entries.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.length("prefix") > 0)
-        weights = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("prefix")), lambda k: F.substring(F.col("prefix"), F.lit(1), k))).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n")).where(F.col("n") > per_task)
-        heavy = frozenset(r.p for r in weights.select("p").limit(MAX_DEPTH * (total // per_task + 1)).collect())
+    total = entries.agg(F.sum("n").alias("total"))  # one row
+    # the weight of a prefix is that of all leaves on or below it; terms of heavy ones are passed on, one character deeper
+    paths = entries.groupBy("prefix").agg(F.sum("n").alias("n")).where(F.length("prefix") > 0)
+    weights = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("prefix")), lambda k: F.substring(F.col("prefix"), F.lit(1), k))).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
+    heavy = frozenset(r.p for r in weights.crossJoin(F.broadcast(total)).where(F.col("n") * pieces > F.col("total")).select("p").collect())  # below pieces x MAX_DEPTH
     router = spark.sparkContext.broadcast(heavy)
     routed = blocks.mapInPandas(lambda batches: _routed(batches, router.value), f"{_BLOCK_DDL}, route string")
     return routed.repartition("route").drop("route").mapInPandas(_merge, "term string, n_rows long, n_files long")

@@ -2,6 +2,8 @@ import random
 from collections import Counter, defaultdict
 
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from lexweave.llm import frequency
 
@@ -39,9 +41,9 @@ def test_counts(spark):
         if t is not None and f is not None:
             n[t] += 1
             files[t].add(f)
-    for per_task in (500_000, 50):  # with and without the router
-        got = {r.term: (r.n_rows, r.n_files) for r in frequency.count_terms(df, per_task=per_task).collect()}
-        assert got == {t: (n[t], len(files[t])) for t in n}
+    for pieces in (None, 1, 500):  # shallow and deep routes
+        got = [(r.term, r.n_rows, r.n_files) for r in frequency.count_terms(df, pieces=pieces).collect()]
+        assert sorted(got) == sorted((t, n[t], len(files[t])) for t in n)
     marks = {r.term: r.mark for r in frequency.marked(df).collect()}
     total = len({f for _, f, _ in rows if f is not None})
     assert all(marks[t] == ("rare" if len(files[t]) <= 2 else "common" if len(files[t]) > total * 0.01 else None) for t in n)
@@ -70,16 +72,20 @@ def test_terms_meet_from_unequal_tries(spark):
             assert len(got) == len(dict(got)) and {k: v for k, v in got if k[0] == "t"} == want
 
 
-def test_one_row_a_term_whatever_the_tasks(spark):
-    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.shuffle.partitions", "3")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+@pytest.mark.parametrize("length", [0, 2000])
+def test_one_row_a_term_whatever_the_tasks(spark, coalesced, length):
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": coalesced, "spark.sql.shuffle.partitions": "5"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
-        rows = [(f"t{i}", f"f{j}") for i in range(364) for j in range(3)]  # some tasks burst, some do not
+        # some tasks burst, some do not: a heavy prefix, and a few terms elsewhere
+        rows = [(f"t{i}" + "x" * length, f"f{j}") for i in range(364) for j in range(3)] + [("a", "f0"), ("", "f0")]
         df = spark.createDataFrame(rows, "cand_match string, file_name string")
-        for per_task in (500_000, 50):
-            got = [tuple(r) for r in frequency.count_terms(df, per_task=per_task).collect()]
-            assert sorted(got) == sorted((f"t{i}", 3, 3) for i in range(364))
+        want = sorted((r.t, r.n, r.k) for r in df.groupBy(F.col("cand_match").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_name").alias("k")).collect())
+        for pieces in (None, 1, 50, 5000):
+            assert sorted(tuple(r) for r in frequency.count_terms(df, pieces=pieces).collect()) == want
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old[0])
-        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+        for k, v in old.items():
+            spark.conf.set(k, v)
