@@ -4,7 +4,8 @@ Only how many items there are of each length matters for the packing, and there
 is made on that histogram, whatever the size of the corpus: lengths are taken from the largest down, the gap each
 leaves is looked up among single, pair and triple sums of the lengths still available, exact fills are consumed as often
 as the counts allow, and what remains is placed best-fit. The plan is a few thousand intervals of ranks; a document finds
-its container by its rank among the documents of its length. Ranks are counted in pieces, so no task holds a whole length.
+its container by its rank among the documents of its length. Ranks are counted in buckets whose number follows that of the
+items, so no task holds a whole length, however many documents have it.
 
 Defined results: a document longer than the capacity is cut into full pieces and a rest, others are never cut; documents
 without tokens (null, empty) take no space and are spread over the containers (over container 0 where there is none); a null id is kept; repeated rows are items of
@@ -23,7 +24,8 @@ from lexweave.llm.encoding import token_counts
 from lexweave.session import cut
 
 CAPACITY = 4096
-PIECES = 64
+#: Items of one length that a task ranks, at most about so many.
+BUCKET = 200_000
 
 
 class Stock:
@@ -152,19 +154,19 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
     start = F.greatest(F.lit(0), (F.col("piece_no") - 1) * capacity)
     pieces = pieces.select("doc_id", "piece_no", start.alias("start_token"), F.least(F.lit(capacity), F.col("whole") - start).alias("n_tokens"))
-    pieces = cut(pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no", F.monotonically_increasing_id()), F.lit(PIECES)).cast("int")))
-    histogram = pieces.where("n_tokens > 0").groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity x PIECES rows
-    counts: dict[int, int] = {}
-    before = []
-    for r in sorted(histogram, key=lambda r: (r.n_tokens, r.bucket)):
-        before.append((r.n_tokens, r.bucket, counts.get(r.n_tokens, 0)))
-        counts[r.n_tokens] = counts.get(r.n_tokens, 0) + r.n
+    pieces = cut(pieces.withColumn("h", F.xxhash64("doc_id", "piece_no", F.monotonically_increasing_id())))
+    histogram = pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity + 1 rows
+    counts = {r.n_tokens: r.n for r in histogram if r.n_tokens > 0}
+    buckets = -(-max((r.n for r in histogram), default=1) // BUCKET)
+    pieces = pieces.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
     patterns = plan(counts, capacity)
     total = sum(many for _, many in patterns)
     slots = pd.DataFrame(intervals(patterns), columns=["n_tokens", "first", "ranks", "per", "base"]).sort_values(["n_tokens", "first"])
     by_length = {int(n): (g["first"].to_numpy(), g["per"].to_numpy(), g["base"].to_numpy()) for n, g in slots.groupby("n_tokens")}
     held = spark.sparkContext.broadcast(by_length)  # a few intervals for each length up to the capacity
-    offsets = F.broadcast(spark.createDataFrame(before, "n_tokens int, bucket int, before long"))
+    sizes_of = pieces.where("n_tokens > 0").groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("n_tokens").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # the buckets of one length
+    offsets = sizes_of.select("n_tokens", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
 
     @F.pandas_udf("long")
     def container(length: pd.Series, rank: pd.Series) -> pd.Series:
@@ -176,10 +178,10 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             out.loc[at] = base[i] + (r - first[i]) // per[i]
         return out
 
-    rank = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece_no")) - 1
+    rank = F.row_number().over(Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece_no", "h")) - 1
     sized = pieces.where("n_tokens > 0").withColumn("rank", rank).join(offsets, ["n_tokens", "bucket"])
     placed = sized.select("doc_id", F.col("piece_no").cast("int").alias("piece_no"), F.col("start_token").cast("int").alias("start_token"), F.col("n_tokens").cast("int").alias("n_tokens"), container(F.col("n_tokens"), F.col("before") + F.col("rank")).alias("container_id"))
-    spread = F.pmod(F.xxhash64("doc_id", "bucket"), F.lit(max(1, total))).cast("long")
+    spread = F.pmod(F.col("h"), F.lit(max(1, total))).cast("long")
     none = pieces.where("n_tokens = 0").select("doc_id", F.col("piece_no").cast("int").alias("piece_no"), F.lit(0).alias("start_token"), F.lit(0).alias("n_tokens"), spread.alias("container_id"))
     return placed.unionByName(none)
 

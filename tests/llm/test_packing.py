@@ -52,3 +52,13 @@ def test_documents(spark):
     assert packing.pack(df.limit(0), 32).count() == 0
     same = spark.createDataFrame([(1, 5), (1, 5), (None, 5)], "doc_id long, n_tokens int")
     assert packing.pack(same, 10).count() == 3
+
+
+def test_ranks_in_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET", 7)
+    sizes = spark.createDataFrame([(i % 90, 5) for i in range(100)] + [(None, 5), (200, 23)], "doc_id long, n_tokens int")
+    rows = packing.pack(sizes, 10).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.container_id, []).append(r.n_tokens)
+    assert len(rows) == 104 and max(map(sum, held.values())) <= 10 and len(held) == -(-(101 * 5 + 23) // 10)
