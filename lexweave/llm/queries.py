@@ -19,6 +19,7 @@ QUERIES = {
     "p5_redacted": lambda s, d: personal.redact(table(s, d, "posts"), table(s, d, "given_names")),
     "p6_found": lambda s, d: splits.found(table(s, d, "posts")),
     "p6_splits": lambda s, d: splits.assign_splits(table(s, d, "posts")),
+    "p6_forest": lambda s, d: splits.tree_sizes(table(s, d, "posts")),
     "p7_found": lambda s, d: frequency.marked(table(s, d, "instances")).where("mark is not null").select("term", "mark"),
     "p7_counts": lambda s, d: frequency.marked(table(s, d, "instances")),
     "p8_ids": lambda s, d: encoding.encode(table(s, d, "documents")),

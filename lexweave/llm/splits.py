@@ -1,8 +1,9 @@
 """Problem 6: train, validation and test sets that keep related files together.
 
 Authors and threads are nodes, each file that names both is an edge. Borůvka rounds contract every component along its
-smallest edge; the chosen edges are the spanning forest, kept in the checkpoint folder round by round. Nothing but counts
-reaches the driver. Roots are put into bands of size; within a band they are dealt to the splits at even steps, the
+smallest edge; the chosen edges are the spanning forest, kept in the checkpoint folder round by round and given out by
+``forest`` or written for good by ``save_forest``. Nothing but counts reaches the driver: joins of nodes and edges are merge
+joins, as no size of them is bounded. Roots are put into bands of size; within a band they are dealt to the splits at even steps, the
 largest bands first, each band correcting what the larger ones left.
 
 Defined results: file names are read whatever their spelling (case, separators, folders, endings, zeros); ``anon`` and a
@@ -37,6 +38,11 @@ class Forest:
     rounds: int
 
 
+def _by(df: DataFrame) -> DataFrame:
+    """A side that is not to be broadcast; hot keys are left to the adaptive skew join."""
+    return df.hint("merge")
+
+
 def spanning_forest(pairs: DataFrame, most_rounds: int = 60) -> Forest:
     """Contract the graph of distinct (author, thread) pairs.
 
@@ -58,18 +64,18 @@ def spanning_forest(pairs: DataFrame, most_rounds: int = 60) -> Forest:
         chosen = picked if chosen is None else chosen.union(picked)
         # of two components that chose the same edge the smaller becomes the root
         back = least.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        up = least.select("c", "p").join(back, "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
+        up = least.select("c", "p").join(_by(back), "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p"))
         up = cut(up)
         for _ in range(most_rounds):  # pointer doubling
             above = up.select(F.col("c").alias("p"), F.col("p").alias("q"))
-            nxt = cut(up.join(above, "p").select("c", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
+            nxt = cut(up.join(_by(above), "p").select("c", F.col("q").alias("p"), (F.col("p") != F.col("q")).alias("moved")))
             moved = not nxt.where("moved").isEmpty()
             up = nxt.select("c", "p")
             if not moved:
                 break
-        labels = cut(labels.join(up.select(F.col("c").alias("root"), F.col("p").alias("r")), "root", "left").select("node", F.coalesce("r", "root").alias("root")))
+        labels = cut(labels.join(_by(up.select(F.col("c").alias("root"), F.col("p").alias("r"))), "root", "left").select("node", F.coalesce("r", "root").alias("root")))
         ru, rv = up.select(F.col("c").alias("u"), F.col("p").alias("ru")), up.select(F.col("c").alias("v"), F.col("p").alias("rv"))
-        moved_edges = edges.join(ru, "u").join(rv, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"), "w")
+        moved_edges = edges.join(_by(ru), "u").join(_by(rv), "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"), "w")
         edges = cut(moved_edges.groupBy("u", "v").agg(F.min("w").alias("w")))
     else:
         raise RuntimeError("the contraction did not end")
@@ -85,11 +91,36 @@ def file_groups(df: DataFrame, file: str = "file_name") -> DataFrame:
     # a node without a partner is its own root
     node = F.coalesce(F.col("thread") * 2 + 1, F.col("author") * 2)
     known = files.withColumn("node", node)
-    placed = known.join(forest.labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = known.join(_by(forest.labels), "node", "left").withColumn("root", F.coalesce("root", "node"))
     lone = files.where("author is not null and thread is null").select("author").distinct()
     authors = forest.labels.where("node % 2 = 0").select("root", F.expr("node div 2").alias("a")).union(lone.join(forest.labels.where("node % 2 = 0").select(F.expr("node div 2").alias("author")), "author", "left_anti").select(F.col("author") * 2, "author"))
     least = authors.groupBy("root").agg(F.min("a").alias("group_author"))
-    return placed.join(least, "root", "left").select("file_name", "n_rows", "author", "thread", "root", "group_author")
+    return placed.join(_by(least), "root", "left").select("file_name", "n_rows", "author", "thread", "root", "group_author")
+
+
+def _edges(df: DataFrame, file: str) -> Forest:
+    names = df.where(F.col(file).isNotNull()).select(file).distinct()
+    return spanning_forest(names.select(number_in(F.col(file), "u").alias("author"), number_in(F.col(file), "t").alias("thread")))
+
+
+def forest(df: DataFrame, file: str = "file_name") -> DataFrame:
+    """``author, thread, root``: the edges of the spanning forest with the tree they belong to."""
+    f = _edges(df, file)
+    return f.edges.join(_by(f.labels.where("node % 2 = 0").select(F.expr("node div 2").alias("author"), "root")), "author").select("author", "thread", "root")
+
+
+def tree_sizes(df: DataFrame, file: str = "file_name") -> DataFrame:
+    """``group_author, n_nodes, n_edges`` of every tree: one edge less than it has authors and threads."""
+    f = _edges(df, file)
+    nodes = f.labels.groupBy("root").agg(F.min(F.when(F.col("node") % 2 == 0, F.expr("node div 2"))).alias("group_author"), F.count(F.lit(1)).alias("n_nodes"))
+    author = f.labels.where("node % 2 = 0").select(F.expr("node div 2").alias("author"), "root")
+    edges = f.edges.join(_by(author), "author").groupBy("root").agg(F.count(F.lit(1)).alias("n_edges"))
+    return nodes.join(_by(edges), "root").select("group_author", "n_nodes", "n_edges")
+
+
+def save_forest(df: DataFrame, path: str, file: str = "file_name") -> None:
+    """The edges of the forest as a table, for later runs."""
+    forest(df, file).write.mode("overwrite").parquet(path)
 
 
 def found(df: DataFrame, file: str = "file_name") -> DataFrame:
@@ -152,4 +183,4 @@ def assign_splits(df: DataFrame, file: str = "file_name", parts: dict[str, float
     for i in range(len(names) - 2, -1, -1):
         choice = F.when(x < F.col(f"e{i}"), names[i]).otherwise(choice)
     dealt = roots.withColumn("rank", rank).join(F.broadcast(offsets), ["band", "bucket"]).select("group", choice.alias("split"))
-    return files.join(dealt, "group").select("file_name", "root", "group_author", "split")
+    return files.join(_by(dealt), "group").select("file_name", "root", "group_author", "split")

@@ -34,7 +34,10 @@ edges AS (SELECT DISTINCT a * 2 AS x, t * 2 + 1 AS y FROM files WHERE a IS NOT N
 both_ways AS (SELECT x, y FROM edges UNION ALL SELECT y, x FROM edges),
 reach(x, y) AS (SELECT x, x FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
 least AS (SELECT x, min(y // 2) AS g FROM reach WHERE y % 2 = 0 GROUP BY x)
-SELECT file_name, coalesce(g, a) AS group_author FROM files LEFT JOIN least ON x = coalesce(t * 2 + 1, a * 2) WHERE coalesce(g, a) IS NOT NULL"""
+@"""
+_GROUP_OF_FILE = "SELECT file_name, coalesce(g, a) AS group_author FROM files LEFT JOIN least ON x = coalesce(t * 2 + 1, a * 2) WHERE coalesce(g, a) IS NOT NULL"
+#: A spanning tree has one edge less than nodes.
+_TREES = "SELECT g AS group_author, count(*) AS n_nodes, count(*) - 1 AS n_edges FROM least GROUP BY g"
 
 _FORM = {t: statement().replace("FROM b)", f"FROM (SELECT {k} AS k, {x} AS x FROM {t}))").replace("FROM b\n", f"FROM (SELECT {k} AS k, {x} AS x FROM {t})\n") for t, k, x in (("posts", "post_id", "post_txt"), ("instances", "inst_id", "cand_match"))}
 
@@ -42,7 +45,8 @@ SQL = {
     "p3_found": f"SELECT DISTINCT 'post_txt' AS field_name, k AS row_id FROM ({_FORM['posts']}) WHERE odd UNION ALL SELECT DISTINCT 'cand_match', k FROM ({_FORM['instances']}) WHERE odd",
     "p3_posts": f"SELECT k AS row_id, y AS text, odd FROM ({_FORM['posts']})",
     "p3_mentions": f"SELECT k AS row_id, y AS text, odd FROM ({_FORM['instances']})",
-    "p6_found": _GROUPS,
+    "p6_found": _GROUPS.replace("@", _GROUP_OF_FILE),
+    "p6_forest": _GROUPS.replace("@", _TREES),
     "p7_counts": _COUNTS,
     "p7_found": f"SELECT term, mark FROM ({_COUNTS}) WHERE mark IS NOT NULL",
     "p2_found": _COPIES + "SELECT first_id, post_id AS copy_id FROM (SELECT post_id, min(post_id) OVER (PARTITION BY k) AS first_id FROM keyed) WHERE post_id <> first_id",

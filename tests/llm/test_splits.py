@@ -54,3 +54,12 @@ def test_proportions(spark):
     for r in rows:
         groups.setdefault(r.root, set()).add(r.split)
     assert all(len(v) == 1 for v in groups.values())
+
+
+def test_forest_is_given_out_and_kept(spark, tmp_path):
+    names = ["sclerosis_u1_t1_p1", "sclerosis_u2_t1_p2", "sclerosis_u2_t2_p3", "sclerosis_u1_t2_p4", "sclerosis_u9_t9_p5", "sclerosis_anon_t5_p6", None]
+    df = spark.createDataFrame([(n,) for n in names], "file_name string")
+    splits.save_forest(df, str(tmp_path / "forest"))
+    edges = [tuple(r) for r in spark.read.parquet(str(tmp_path / "forest")).collect()]
+    assert len(edges) == 4 and len({r for _, _, r in edges}) == 2
+    assert sorted(tuple(r) for r in splits.tree_sizes(df).collect()) == [(1, 4, 3), (9, 2, 1)]
