@@ -3,7 +3,13 @@ r"""Problem 5: personal data in free text, found and replaced by typed placehold
 Texts are read through a plain view (odd characters folded one by one, so that offsets map back), scanned by format and
 context, and validated. Numbers and dates get a format-preserving pseudonym: a keyed Feistel permutation within the
 digits of their format, so that equal values stay linked across documents and no two values meet; identity numbers
-with a right check digit keep one. The parser's text holds the same letters and digits as the post, so spans are carried
+with a right check digit keep one, telephone numbers their area, under which they are permuted however it is written. E-mail
+and street addresses and names get 128 bits of a keyed digest. The key is the caller's: nothing can be read back without it.
+
+A listed given name counts wherever it stands as a name is written, unless the posts show that it is an ordinary word: that it
+stands more often outside the places that announce a name (in Latin letters: in lower case) than in them. Then, and for
+names that the list lacks, an announcing place is needed. Each kind has a cue without which no pattern of it can match; it is made
+of the same parts as the patterns. The parser's text holds the same letters and digits as the post, so spans are carried
 over by their count; where it does not, it is scanned itself.
 
 Defined results: null texts have no spans and stay null; empty and very long texts are read whole; overlapping spans go to the earlier
@@ -17,6 +23,7 @@ import datetime
 import hashlib
 import hmac
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 
@@ -27,7 +34,6 @@ from pyspark.sql import functions as F
 from lexweave.llm.lookalikes import LATIN_LIKE
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-KEY = b"lexweave"
 ROUNDS = 8
 
 # ---- pseudonyms ---------------------------------------------------------------------------------------------------
@@ -91,15 +97,15 @@ def refilled(shape: str, digits: str) -> str:
     return "".join(next(it, c) if c.isdigit() else c for c in shape)
 
 
-def pseudonym(kind: str, text: str, key: bytes = KEY) -> str:
+def pseudonym(kind: str, text: str, key: bytes) -> str:
     """The placeholder for a span."""
     if kind == "phone":
         digits = spoken_digits(text) if not re.search(r"\d", text) else re.sub(r"\D", "", text)
         if len(digits) < 7:
             return "[PHONE]"
-        line = digits[-7:]
-        head = digits[:-7]
-        new = head + pseudonym_digits(line, key, "phone")
+        line, head = digits[-7:], digits[:-7]
+        area = re.sub(r"^(?:00)?972|^0|^[78](?=\d{3}$)", "", head)  # with or without the country, one number
+        new = head + pseudonym_digits(line, key, f"phone{area}-")
         return f"[PHONE {refilled(text, new) if re.search(r'\d', text) else new}]"
     if kind == "id_number":
         return f"[ID_NUMBER {refilled(text, pseudonym_id(re.sub(r'\D', '', text), key))}]"
@@ -108,7 +114,7 @@ def pseudonym(kind: str, text: str, key: bytes = KEY) -> str:
         new = pseudonym_date(d, m, y, key)
         return f"[DATE {refilled(text, f'{new[0]:02d}{new[1]:02d}{new[2]:04d}')}]" if new else "[DATE]"
     plain = re.sub(r"[\W_]+", "", text.lower())
-    return f"[{kind.upper()} {hmac.new(key, f'{kind}|{plain}'.encode(), hashlib.sha256).hexdigest()[:8]}]"
+    return f"[{kind.upper()} {hmac.new(key, f'{kind}|{plain}'.encode(), hashlib.sha256).hexdigest()[:32]}]"
 
 
 # ---- the plain view ------------------------------------------------------------------------------------------------
@@ -139,7 +145,8 @@ def plain_view(text: str) -> tuple[str, list[int] | None]:
 # ---- what personal data looks like ------------------------------------------------------------------------------------
 
 _DOT = r"(?:\s?\.\s?|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+|\s+נקודה\s+|\s+точка\s+)"
-_AT = r"(?:\s?@\s?|\s?[(\[{]\s?at\s?[)\]}]\s?|\s+(?:שטרודל|כרוכית|собака)\s+)"
+_AT_WORDS = "שטרודל|כרוכית|собака"
+_AT = rf"(?:\s?@\s?|\s?[(\[{{]\s?at?\s?[)\]}}]\s?|\s+(?:{_AT_WORDS})\s+)"
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?=[A-Za-z0-9]))*"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 EMAIL = re.compile(rf"(?i)(?<![A-Za-z0-9_.%+-])({_LOCAL})(?:{_AT}{_LABEL}(?:{_DOT}{_LABEL})+|\s+at\s+{_LABEL}(?:(?:\s?[(\[{{]\s?dot\s?[)\]}}]\s?|\s+dot\s+){_LABEL})+)")
@@ -179,11 +186,14 @@ IDENTITY_FORM = re.compile(r"(?<![\w.+/-])(\d-\d{7}-\d|\d{8}-\d|[A-Z]?\d{7,9}(?=
 NO_IDENTITY = re.compile(r"(?i)(?:parcel|משלוח|order|הזמנה|invoice|item|פריט|lot|посылк\w*)\W{0,3}$")
 
 _H = r"[א-ת]{2,}(?:['׳’][א-ת]+|-[א-ת]+)*"
+_HSTREET = r"(?:רחוב|רח\s?['׳]|שדרות|שד\s?['׳]|סמטת|דרך|כיכר|שכונת|רח\.|שד\.)"
+_STREET = "Street|St|Road|Rd|Lane|Ln|Close|Avenue|Ave|Row|Court|Crescent|Terrace|Gardens|Boulevard|Blvd"
+_RSTREET = r"(?:ул\.|улица|проспект|пр\.)"
 ADDRESS = re.compile(
-    rf"(?<!\w)(?:[בלמהו]{{0,2}})((?:רחוב|רח\s?['׳]|שדרות|שד\s?['׳]|סמטת|דרך|כיכר|שכונת|רח\.|שד\.)\s+(?!עד\b)(?:{_H}\s+){{1,4}}?\d{{1,4}}(?:\s?/\s?\d{{1,3}})?[א-ת]?(?![\d.:]\d)(?:,?\s+דירה\s+\d{{1,3}})?)"
-    rf"|(?<![\w/.-])(\d{{1,4}}(?:\s?/\s?\d{{1,3}}|[A-Za-z])?\s+(?:[A-Z][\w'’]+\s+){{1,4}}(?:Street|St|Road|Rd|Lane|Ln|Close|Avenue|Ave|Row|Court|Crescent|Terrace|Gardens|Boulevard|Blvd)\b\.?(?:,?\s+(?:Apt|Flat|Unit)\.?\s+\d{{1,3}})?)"
-    rf"|(?i:(?:live at|clinic is at|ship it to|meet at|address\s?:|home is)\s+)(?i:(\d{{1,4}}(?:\s?/\s?\d{{1,3}}|[a-z])?\s+(?:[a-z][\w'’]+\s+){{1,4}}?(?:street|st|road|rd|lane|ln|close|avenue|ave|row|court|crescent|terrace|gardens|boulevard|blvd)\b\.?(?:,?\s+(?:apt|flat|unit)\.?\s+\d{{1,3}})?))"
-    rf"|(?<!\w)((?:ул\.|улица|проспект|пр\.)\s+[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁа-яё]+)?,?\s+(?:д\.\s?)?\d{{1,4}}(?:,?\s+кв\.\s?\d{{1,3}})?)"
+    rf"(?<!\w)(?:[בלמהו]{{0,2}})({_HSTREET}\s+(?!עד\b)(?:{_H}\s+){{1,4}}?\d{{1,4}}(?:\s?/\s?\d{{1,3}})?[א-ת]?(?![\d.:]\d)(?:,?\s+דירה\s+\d{{1,3}})?)"
+    rf"|(?<![\w/.-])(\d{{1,4}}(?:\s?/\s?\d{{1,3}}|[A-Za-z])?\s+(?:[A-Z][\w'’]+\s+){{1,4}}(?:{_STREET})\b\.?(?:,?\s+(?:Apt|Flat|Unit)\.?\s+\d{{1,3}})?)"
+    rf"|(?i:(?:live at|clinic is at|ship it to|meet at|address\s?:|home is)\s+)(?i:(\d{{1,4}}(?:\s?/\s?\d{{1,3}}|[a-z])?\s+(?:[a-z][\w'’]+\s+){{1,4}}?(?:{_STREET})\b\.?(?:,?\s+(?:apt|flat|unit)\.?\s+\d{{1,3}})?))"
+    rf"|(?<!\w)({_RSTREET}\s+[А-ЯЁ][а-яё]+(?:\s+[А-ЯЁа-яё]+)?,?\s+(?:д\.\s?)?\d{{1,4}}(?:,?\s+кв\.\s?\d{{1,3}})?)"
 )
 
 _E = r"(?:[A-Za-z]\s?\.|[A-Za-z][A-Za-z\u00c0-\u024f'’]+(?:\s?-\s?[A-Za-z][A-Za-z'’]+)?)"
@@ -275,23 +285,61 @@ def _names(text: str, given: frozenset[str]) -> Iterator[tuple[int, int]]:
         yield words[i][0], m.start() - (len(text[: m.start()]) - len(text[: m.start()].rstrip()))
 
 
-_QUICK = re.compile(r"@|\d[\d .()/-]{5,}\d|(?i:\bat\b.{0,40}\bdot\b|zero|\boh\b|אפס|ноль)|שטרודל|כרוכית|собака|\((?i:at)\)|\[(?i:at)\]|רחוב|רח\s?['׳.]|שדרות|שד\s?['׳.]|סמטת|דרך|כיכר|שכונת|ул\.|улица|(?i:street|road|lane|close|\bave|\brd\b|\bst\b|regards|name is|spoke|looks after|\bdr\b|nurse|from the group|thanks? (?:you )?to|\bmy (?:husband|wife|partner|mother|father|son|daughter|brother|sister|mum|mom|dad)\b|for the help|\bid\b|identity|born|birth)|קוראים לי|שמי|בברכה|דיברתי|תודה ל|בעלי|אשתי|אישתי|זוגי|אחי|אחותי|אמי|אבי|בני|בתי|[\"״]\s?ר|מטפל|מהקבוצה|זהות|לידה|נולדתי|зовут|уважением|рожд")
+_WORD = re.compile(rf"(?<![\w'’-])(?:{_H}|[A-Za-z][A-Za-z\u00c0-\u024f]+)(?![\w])")
+
+
+def _listed(text: str, sure: frozenset[str]) -> Iterator[tuple[int, int]]:
+    """Listed names that no place announces: with a capital, where letters have one and the text uses them."""
+    shouted = text.upper() == text or text.lower() == text
+    for m in _WORD.finditer(text):
+        word = m.group()
+        if word.lower() in sure and (not word[0].isascii() or (word[0].isupper() and not shouted)) and text[m.start() - 1 : m.start()] != "@":
+            yield m.start(), _tail(text, m.end(), sure) if word[0].isascii() else m.end()
+
+
+#: What a text must hold for any pattern of a kind to match.
+CUES = {
+    "email": re.compile(rf"(?i)@|[(\[{{]\s?at?\s?[)\]}}]|\bat\b|{_AT_WORDS}"),
+    "birth_date": re.compile(r"(?i)born|birth|לידה|נולדתי|рождения"),
+    "id_number": re.compile(r"(?:\d[\s-]{0,3}){7}"),
+    "phone": re.compile(r"(?:\d[\s.()/-]{0,5}){7}"),
+    "spoken": re.compile(rf"(?i)(?<!\w)(?:{_DIGIT})[\s,.-]+(?:{_DIGIT})(?!\w)"),
+    "address": re.compile(rf"(?i){_HSTREET}\s|(?:{_STREET})\b|{_RSTREET}\s"),
+    "name": re.compile(rf"(?i)דיברתי עם|תודה ל|ד\s?[\"״]\s?ר|{_HKIN}|קוראים לי|שמי|בברכה|מהקבוצה|spoke|my {_KIN}|\bdr\b|nurse|thank|regards|name is|from the group|зовут|уважением"),
+}
 
 
-def spans(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
-    """``start, end, kind`` of all personal data in a text, in order, none overlapping."""
+def spans(text: str, given: frozenset[str], sure: frozenset[str] = frozenset(), cues: bool = True) -> list[tuple[int, int, str]]:
+    """``start, end, kind`` of all personal data in a text, in order, none overlapping.
+
+    ``given`` names count in announcing places, ``sure`` ones anywhere. ``cues=False`` tries every pattern on every text.
+    """
     if not text:
         return []
     s, at = plain_view(text)
-    if not _QUICK.search(s):
-        return []
-    out: list[tuple[int, int, str]] = [(*m.span(), "email") for m in EMAIL.finditer(s)]
-    out += [(*m.span(1), "birth_date") for m in BIRTH.finditer(s)]
-    for pattern in (IDENTITY, IDENTITY_FORM):
-        out += [(*m.span(1), "id_number") for m in pattern.finditer(s) if not NO_IDENTITY.search(s[max(0, m.start(1) - 20) : m.start(1)])]
-    out += [(*m.span(), "phone") for p in (PHONE, _SPOKEN) for m in p.finditer(s)]
-    out += [(*next(m.span(g) for g in range(1, 5) if m.group(g)), "address") for m in ADDRESS.finditer(s)]
-    out += [(a, b, "name") for a, b in _names(s, given)]
+    out: list[tuple[int, int, str]] = []
+    holds = lambda kind: not cues or CUES[kind].search(s) is not None
+    digit = not cues or re.search(r"\d", s) is not None
+    if holds("email"):
+        out += [(*m.span(), "email") for m in EMAIL.finditer(s)]
+    if digit and holds("birth_date"):
+        out += [(*m.span(1), "birth_date") for m in BIRTH.finditer(s)]
+    if digit and holds("id_number"):
+        for pattern in (IDENTITY, IDENTITY_FORM):
+            out += [(*m.span(1), "id_number") for m in pattern.finditer(s) if not NO_IDENTITY.search(s[: m.start(1)])]
+    if digit and holds("phone"):
+        out += [(*m.span(), "phone") for m in PHONE.finditer(s)]
+    if holds("spoken"):
+        out += [(*m.span(), "phone") for m in _SPOKEN.finditer(s)]
+    if digit and holds("address"):
+        out += [(*next(m.span(g) for g in range(1, 5) if m.group(g)), "address") for m in ADDRESS.finditer(s)]
+    if holds("name"):
+        out += [(a, b, "name") for a, b in _names(s, given)]
+    if sure:
+        announced = {i for a, b, _ in out for i in range(a, b)}
+        out += [(a, b, "name") for a, b in _listed(s, sure) if a not in announced]
+    if not out:
+        return out
     chosen: list[tuple[int, int, str]] = []
     rank = {k: i for i, k in enumerate(("email", "birth_date", "id_number", "phone", "address", "name"))}
     for a, b, kind in sorted(set(out), key=lambda x: (x[0], -x[1], rank[x[2]])):
@@ -302,11 +350,6 @@ def spans(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
     return [(at[a], at[b - 1] + 1, kind) for a, b, kind in chosen]
 
 
-def _cued(text: str) -> bool:
-    """Whether a text may hold anything, read as ``spans`` reads it."""
-    return bool(_QUICK.search(plain_view(text)[0]))
-
-
 def carried(found: list[tuple[int, int, str]], text: str, other: str) -> list[tuple[int, int, str]] | None:
     """Spans of ``text`` in a text with the same letters and digits; None where these differ."""
     here = [i for i, c in enumerate(text) if c.isalnum()]
@@ -328,19 +371,15 @@ def carried(found: list[tuple[int, int, str]], text: str, other: str) -> list[tu
     return out
 
 
-def _both(post: str | None, tokens: str | None, given: frozenset[str]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    first = spans(post, given) if post else []
+def _both(post: str | None, tokens: str | None, given: frozenset[str], sure: frozenset[str]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+    first = spans(post, given, sure) if post else []
     if not tokens:
         return first, []
-    second = None
-    if post is not None:
-        second = carried(first, post, tokens) if first or not _cued(tokens) else []
-        if second == [] and not first and _cued(tokens) and carried([], post, tokens) is None:
-            second = None
-    return first, spans(tokens, given) if second is None else second
+    second = carried(first, post, tokens) if post is not None else None
+    return first, spans(tokens, given, sure) if second is None else second
 
 
-def redacted(text: str | None, found: list[tuple[int, int, str]], key: bytes = KEY) -> str | None:
+def redacted(text: str | None, found: list[tuple[int, int, str]], key: bytes) -> str | None:
     """The text with a placeholder for each span."""
     if not text or not found:
         return text
@@ -359,16 +398,50 @@ def _given(names: DataFrame, most: int = 100_000) -> frozenset[str]:
     return frozenset(r.n for r in rows)
 
 
+def _evidence(batches: Iterator[pa.RecordBatch], given: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """``name, announced, outside`` over the posts of a task."""
+    announced, outside = dict.fromkeys(given, 0), dict.fromkeys(given, 0)
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if not text:
+                continue
+            s = plain_view(text)[0]
+            hits = [m for m in _WORD.finditer(s) if m.group().lower() in given]
+            if not hits:
+                continue
+            held = {i for a, b in (_names(s, given) if CUES["name"].search(s) else ()) for i in range(a, b)}
+            for m in hits:
+                word = m.group()
+                if m.start() in held:
+                    announced[word.lower()] += 1
+                elif not word[0].isascii() or word[0].islower():
+                    outside[word.lower()] += 1
+    seen = [n for n in given if announced[n] or outside[n]]
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string()), pa.array([announced[n] for n in seen], pa.int64()), pa.array([outside[n] for n in seen], pa.int64())], names=["name", "announced", "outside"])
+
+
+def ordinary_words(posts: DataFrame, given: frozenset[str], least: int = 3) -> frozenset[str]:
+    """The listed names that the posts use as words: outside announcing places at least ``least`` times and more than in them.
+
+    All posts are counted; what reaches the driver is one row for each listed name at most.
+    """
+    held = posts.sparkSession.sparkContext.broadcast(given)
+    counts = posts.select(F.col("post_txt").cast("string")).mapInArrow(lambda batches: _evidence(batches, held.value), "name string, announced long, outside long")
+    sums = counts.groupBy("name").agg(F.sum("announced").alias("announced"), F.sum("outside").alias("outside"))
+    return frozenset(r.name for r in sums.where((F.col("outside") >= least) & (F.col("outside") > F.col("announced"))).select("name").collect())
+
+
 def _mapped(posts: DataFrame, names: DataFrame, schema: str, rows_of) -> DataFrame:
     """Each row's spans turned into output rows, in Arrow batches; whole numbers stay whole where others are null."""
-    given = posts.sparkSession.sparkContext.broadcast(_given(names))
+    listed = _given(names)
+    given = posts.sparkSession.sparkContext.broadcast((listed, listed - ordinary_words(posts, listed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [(name, {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]) for name, kind in (x.strip().split(" ") for x in schema.split(","))]
         for batch in batches:
             out: list[tuple] = []
             for i, post, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += rows_of(i, post, tokens, *_both(post, tokens, given.value))
+                out += rows_of(i, post, tokens, *_both(post, tokens, *given.value))
             columns = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
@@ -376,21 +449,28 @@ def _mapped(posts: DataFrame, names: DataFrame, schema: str, rows_of) -> DataFra
     return narrow.mapInArrow(run, schema)
 
 
-def find(posts: DataFrame, names: DataFrame) -> DataFrame:
-    """``post_id, field_name, kind, start_offset, end_offset``. Nothing is shuffled."""
+def session_key(posts: DataFrame) -> bytes:
+    """The key that the session names in ``spark.lexweave.key``; without one a new key, under which only this run's values are linked."""
+    named = posts.sparkSession.conf.get("spark.lexweave.key", None)
+    return named.encode() if named else secrets.token_bytes(32)
 
-    def rows_of(i, post, tokens, a, b):  # noqa: ARG001
-        return [(i, field, k, s, e) for field, found_in in (("post_txt", a), ("tokenized_text", b)) for s, e, k in found_in if k in KINDS]
 
-    return _mapped(posts, names, "post_id long, field_name string, kind string, start_offset int, end_offset int", rows_of)
+def find(posts: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
+    """``post_id, field_name, kind, start_offset, end_offset, pseudonym``. Nothing but the counts of listed names is shuffled."""
+
+    def rows_of(i, post, tokens, a, b):
+        fields = (("post_txt", post, a), ("tokenized_text", tokens, b))
+        return [(i, field, k, s, e, pseudonym(k, text[s:e], key)) for field, text, found_in in fields for s, e, k in found_in if k in KINDS]
+
+    return _mapped(posts, names, "post_id long, field_name string, kind string, start_offset int, end_offset int, pseudonym string", rows_of)
 
 
 def found(posts: DataFrame, names: DataFrame) -> DataFrame:
-    """``post_id, field_name, kind, start_offset``."""
-    return find(posts, names).select("post_id", "field_name", "kind", "start_offset")
+    """``post_id, field_name, kind, start_offset`` of what ``find`` replaces."""
+    return find(posts, names, session_key(posts)).select("post_id", "field_name", "kind", "start_offset")
 
 
-def redact(posts: DataFrame, names: DataFrame, key: bytes = KEY) -> DataFrame:
+def redact(posts: DataFrame, names: DataFrame, key: bytes) -> DataFrame:
     """``post_id, post_txt, tokenized_text`` with placeholders."""
 
     def rows_of(i, post, tokens, a, b):

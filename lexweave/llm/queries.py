@@ -16,7 +16,7 @@ QUERIES = {
     "p4_found": lambda s, d: canonical_list.map_values(table(s, d, "typed_terms"), table(s, d, "lexicon")),
     "p4_unmatched": lambda s, d: canonical_list.unmatched(table(s, d, "typed_terms"), table(s, d, "lexicon")),
     "p5_found": lambda s, d: personal.found(table(s, d, "posts"), table(s, d, "given_names")),
-    "p5_redacted": lambda s, d: personal.redact(table(s, d, "posts"), table(s, d, "given_names")),
+    "p5_redacted": lambda s, d: personal.redact(table(s, d, "posts"), table(s, d, "given_names"), personal.session_key(table(s, d, "posts"))),
     "p6_found": lambda s, d: splits.found(table(s, d, "posts")),
     "p6_splits": lambda s, d: splits.assign_splits(table(s, d, "posts")),
     "p6_forest": lambda s, d: splits.tree_sizes(table(s, d, "posts")),

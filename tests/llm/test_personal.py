@@ -47,9 +47,9 @@ def test_carried_to_tokens(spark):
     assert {(r.field_name, r.kind, r.start_offset) for r in rows if r.post_id == 1} == {("post_txt", "phone", post.index("+")), ("post_txt", "phone", post.index("(")), ("post_txt", "email", post.index("x@")), ("tokenized_text", "phone", tokens.index("+")), ("tokenized_text", "phone", tokens.index("(")), ("tokenized_text", "email", tokens.index("x @"))}
     assert {(r.post_id, r.start_offset) for r in rows if r.post_id in (2, 3)} == {(2, 5), (3, 6)}
     assert sum(r.post_id == 4 for r in rows) > 6000
-    red = {r.post_id: r for r in P.redact(posts, names).collect()}
+    red = {r.post_id: r for r in P.redact(posts, names, b"key").collect()}
     assert red[None].post_txt is None
-    assert re.fullmatch(r"Hi\. call \[PHONE \+972-52-\d{3}-\d{4}\], \[PHONE \(03\) \d{3}-\d{4}\] \[EMAIL [0-9a-f]{8}\]", red[1].post_txt)
+    assert re.fullmatch(r"Hi\. call \[PHONE \+972-52-\d{3}-\d{4}\], \[PHONE \(03\) \d{3}-\d{4}\] \[EMAIL [0-9a-f]{32}\]", red[1].post_txt)
     assert re.search(r"\d{7}", red[2].tokenized_text).group() == "".join(re.findall(r"\d", red[1].post_txt.split("]")[0]))[-7:]  # linked
     assert P.found(posts.limit(0), names).count() == 0
 
@@ -65,14 +65,14 @@ def test_check_digit_and_dates():
     new = P.pseudonym_id("123456782", b"k")
     assert P.check_digit(new[:8]) == new[8] and new != "123456782"
     assert P.pseudonym_date(31, 2, 2000, b"k") is None and P.pseudonym_date(1, 2, 2000, b"k") == P.pseudonym_date(1, 2, 2000, b"k")
-    assert re.search(r"\[DATE \d\d/\d\d/\d{4}\]", P.redacted("born 01/02/1980", P.spans("born 01/02/1980", GIVEN)))
+    assert re.search(r"\[DATE \d\d/\d\d/\d{4}\]", P.redacted("born 01/02/1980", P.spans("born 01/02/1980", GIVEN), b"k"))
 
 
 def test_odd_characters_inside_the_only_cue():
     for t, name in (("ש\u200bמי דנה", "דנה"), ("my na\u200bme is Hugo", "Hugo"), ("my n\u0430me is Hugo", "Hugo")):
         assert kinds(t) == [(name, "name")], t
     assert kinds("tal\uff20example.com") == [("tal\uff20example.com", "email")]
-    assert P._both(None, "my na\u200bme is Hugo", GIVEN)[1] != [] and P._both("a", "my na\u200bme is Hugo", GIVEN)[1] != []
+    assert P._both(None, "my na\u200bme is Hugo", GIVEN, frozenset())[1] != [] and P._both("a", "my na\u200bme is Hugo", GIVEN, frozenset())[1] != []
 
 
 def test_announced_names_without_words_behind():
@@ -83,3 +83,50 @@ def test_announced_names_without_words_behind():
         assert kinds(t) == [(name, "name")], t
     for t in ("the nurse told me", "my clinic nurse Advised", "I spoke with the nurse", "thanks to all of you", "thanks to Juvenile Cramp I rest", "my mother rose early, My knees", "my son is ill", "דיברתי עם הרופא", "תודה לכולם", "אחותי אמרה לי"):
         assert kinds(t) == [], t
+
+
+SURE = frozenset({"sarah", "dana", "דנה"})
+
+
+def test_listed_names_anywhere():
+    for t, names in (
+        ("I am Sarah Cohen, my sister Dana Levi lives near me", ["Sarah Cohen", "Dana Levi"]), ("thanks Dana", ["Dana"]), ("My friend Sarah Cohen helped me", ["Sarah Cohen"]), ("פגשתי את דנה אתמול", ["דנה"]),
+        ("@Dana hi", []), ("she said dana", []), ("Danakil", []), ("sarah's DANA", ["DANA"]),
+    ):
+        assert [t[a:b] for a, b, k in P.spans(t, GIVEN | SURE, SURE) if k == "name"] == names, t
+
+
+def test_listed_names_that_are_words(spark):
+    rows = [(i, "there is hope, Rose said. nurse Dana was kind") for i in range(4)] + [(9, "nurse Hope was kind. Hope rose"), (10, None), (11, "פגשתי את דנה")]
+    posts = spark.createDataFrame([(i, t, None) for i, t in rows], "post_id long, post_txt string, tokenized_text string")
+    assert P.ordinary_words(posts, frozenset({"hope", "rose", "dana", "דנה"})) == {"hope"}
+    names = spark.createDataFrame([("Hope",), ("Rose",), ("Dana",), ("דנה",), (None,)], "given_name string")
+    found = P.find(posts, names, b"k").where("kind = 'name'").collect()
+    text = dict(rows)
+    assert {(r.post_id, text[r.post_id][r.start_offset : r.end_offset]) for r in found} == {(i, n) for i in range(4) for n in ("Rose", "Dana")} | {(9, "Hope"), (11, "דנה")}
+
+
+def test_streets_and_other_ways():
+    for t, want in (
+        ("My home is 12 Elm Crescent", ("12 Elm Crescent", "address")), ("14 Oak Terrace", ("14 Oak Terrace", "address")), ("проспект Мира 12", ("проспект Мира 12", "address")), ("write to dana\uff20mail.com", ("dana\uff20mail.com", "email")),
+        ("five two three four five six seven eight", ("five two three four five six seven eight", "phone")), ("irene (a) klinik.example", ("irene (a) klinik.example", "email")), ("ת.ז. שלי, כפי שמופיע ברישום הישן, 123456782", None),
+    ):
+        assert kinds(t) == ([want] if want else []), t
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([
+    "dana", "@", "mail.com", "(a)", "[at]", "at", "dot", "שטרודל", "052-5551234", "+972 (52) 555 - 1234", "8 (912) 345-67-89", "00 972", "zero", "five", "אפס", "ноль", "12", "7/3", "Elm", "Oak", "Crescent", "St.", "lane", "רחוב", "שד'", "הרצל", "проспект", "Мира",
+    "ת.ז.", "id", "паспорт", "123456782", "0-0036689-7", "A 1234567", "on the form", "born", "date of birth:", "01/02/1980", "nurse", "Hugo", "was kind", "דיברתי עם", "דנה", "מהקבוצה", "כתבה", "שמי", "ד\"ר", "my sister", "regards,", "меня зовут", "Иван", ",", ".", "\n", "\u200b",
+]), min_size=1, max_size=12), st.sampled_from(["", " ", "  "]))
+def test_no_cue_refuses_a_span(words, gap):
+    t = gap.join(words) if gap else " ".join(words).upper()
+    assert P.spans(t, GIVEN, SURE) == P.spans(t, GIVEN, SURE, cues=False)
+
+
+def test_pseudonyms_link_the_same_number_only():
+    key = b"k"
+    digits = lambda t: re.sub(r"\D", "", P.pseudonym("phone", t, key))[-7:]
+    assert digits("052-1234567") == digits("+972-52-123-4567") == digits("00972 52 1234567") == digits("zero five two one two three four five six seven") != digits("03-1234567")
+    assert P.pseudonym("phone", "052-1234567", key) != P.pseudonym("phone", "052-1234567", b"other")
+    assert len({P.pseudonym("name", f"n{i}", key) for i in range(1000)}) == 1000
