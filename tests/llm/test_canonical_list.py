@@ -37,9 +37,22 @@ def test_similarity_join_is_exact(spark):
     names = lambda n: sorted({" ".join("".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 8))) for _ in range(rnd.randrange(1, 3))) for _ in range(n)})
     left, right = names(70), names(70)
     grams = lambda s: {f" {w} "[i : i + 2] for w in s.split() for i in range(len(w) + 1)}
-    want = {(a, b) for a in left for b in right if len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= 0.4}
-    got = C.similar(spark.createDataFrame([(x,) for x in left], "name string"), spark.createDataFrame([(x,) for x in right], "name string"), 0.4)
-    assert {(r.left_name, r.right_name) for r in got.collect()} == want
+    least = lambda a, b: max(C.SIMILARITY, (min(len(a), len(b)) - 9) / (min(len(a), len(b)) + 9))
+    alike = lambda a, b: len(a & b) >= 2 and len(a & b) / len(a | b) >= least(a, b) and abs(len(a) - len(b)) <= 7
+    long = ["".join(rnd.choice("abcdefghij ") for _ in range(40)).strip() for _ in range(20)]
+    long += [x[:k] + x[k + 1 :] for x in long for k in (3, 20)]
+    left, right = [*left, *long[::2]], [*right, *long[1::2]]
+    want = {(a, b) for a in left for b in right if abs(len(a) - len(b)) <= 5 and alike(grams(a), grams(b))}
+    got = C.similar(spark.createDataFrame([(x,) for x in left], "name string"), spark.createDataFrame([(x,) for x in right], "name string"))
+    got = [(r.left_name, r.right_name) for r in got.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(len(a) > 30 for a, _ in want)
+
+
+def test_a_common_bigram_forms_no_block(spark):
+    # every name holds the same bigrams of one word; they meet by their rare ones
+    left = spark.range(3000).selectExpr("concat('common ', substring(md5(string(id)), 1, 8)) AS name")
+    right = spark.range(3000).selectExpr("concat('common ', substring(md5(string(id + 1000)), 1, 8)) AS name")
+    assert C.similar(left, right).where("jaccard = 1").count() == 2000
 
 
 def test_edits():
