@@ -1,18 +1,23 @@
 r"""Problem 10: template residue, filler and error pages in place of posts.
 
-Texts are cut into segments (lines and sentences), and each segment into a static part and slots: wrapped names, numbers and
-hexadecimal ids. Records with the same static part are aligned over the whole corpus:
-
-* slots that keep a variable name, an instruction or nothing: a name counts as a variable when it stands in delimiters that
-  only templates use, when it is spelled as an identifier or an instruction, or when the corpus wraps it in several kinds of
-  delimiters; an aligned line whose slots are empty is a blank form.
-* whole-page templates: segments with an error, refusal, script or filler cue are the core of a page. Segments
-  that stand mostly in pages made of such parts (over all documents) are page furniture. A document is a page
-  when it has a core and nothing but core, furniture and a short title.
+The corpus is read once, in Arrow partitions: texts are cut into lines and segments (lines and sentences), and of each the
+static part is kept as a hash, with numbers and ids as slots. Everything else works on these hashes, so that records with
+the same static part are aligned over the whole corpus:
+
+* slots that keep a variable name, an instruction or nothing. Some delimiters are known to be those of templates; a name that stands
+  in them, or in several kinds of delimiters, is a variable, and delimiters that mostly hold variables are learned as those
+  of templates. An aligned line whose slots are empty is a blank form, one that has a variable's bare name there keeps a default.
+* whole-page templates, induced by repetition and structure: the segments that repeat and stand mostly in documents which
+  consist of nothing else, taken to the fixed point, are the vocabulary of templates; copies of one document count once.
+  Listed cues only confirm: what shares pages with a confirmed segment belongs to error pages and notices, in whatever words
+  or language. A document of such segments is a page. Beside it, messages with a listed cue are cores also where they
+  stand once: segments that stand mostly in pages with a core (over all documents) are page furniture, and a document is a page
+  when it has a core and nothing but cores, furniture and a short title, on lines of their own or joined.
 
 Defined results: null and blank texts are no cases; posts that mention or quote a message keep their own sentences and are
 no cases; brackets around other things (lists, ``[sigh]``, empty brackets in prose, special tokens) are no placeholders;
-repeated documents each count; rows with a null id are left out; extra columns are ignored.
+repeated documents each count; rows with a null id are left out; extra columns are ignored. A variable's name has at most 61
+characters.
 """
 
 from __future__ import annotations
@@ -33,8 +38,10 @@ STRONG = "|".join(
 )
 #: Brackets that other text uses as well.
 WEAK = rf"(?<![\[{{$%#])(?:\{{\s*{_NAME}\s*\}}|\[\s*{_NAME}\s*\]|<\s*[A-Z][A-Z_ ]{{2,40}}>)(?![\]}}])"
+#: Any marks around a name: delimiters that may be learned.
+ANY_MARKS = rf"(?<![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}\s.,;:!?'\"()-]{{1,3}}\s?[\p{{L}}_][\p{{L}}\p{{N}}_.]{{0,60}}(?: [\p{{L}}\p{{N}}_.]+){{0,3}}\s?[^\p{{L}}\p{{N}}\s.,;:!?'\"()-]{{1,3}}(?![\p{{L}}\p{{N}}])"
 #: What every delimiter holds.
-MARKED = r"[{}\[]|<[%<A-Z]|%%|@@|__"
+MARKED = r"[{}\[\]<>|~^$#*=%@\\/‹›«»“”„⟦⟧【】]\s?[\pL_]|__[\pL]"
 #: An identifier, or an instruction to the one who fills the form in.
 IDENTIFIER = r"^(?:[A-Za-z]+(?:[_.][A-Za-z]+)+|[A-Z]{2,}(?:_[A-Z]+)+)$"
 INSTRUCTION = r"(?i)\b(?:insert|enter|type|add|put|write)\b.*\b(?:here|text|name|title|date)\b|\bgoes? here\b|\byour (?:name|text|title|post|message)\b|הכנס|הקלד|הזן|כתוב כאן|вставьте|введите|ins[ée]re[rz]|saisissez|أدخل|اكتب هنا"
@@ -52,94 +59,121 @@ FILLER_PHRASES = (
     r"lorem ipsum[\p{L} ,.]*|לורם איפסום[\p{IsHebrew} ,.]*|(?:your |the )?(?:post|page|message)? ?content (?:goes )?here|(?:type|write|enter) (?:your )?(?:message|text|post) here|(?:sample|placeholder|dummy|example) text(?: goes here)?|text goes here"
     r"|texte (?:de remplissage|d.exemple)|текст[- ]заполнитель|пример текста|здесь будет текст|טקסט לדוגמה|טקסט לדוגמא|כאן יבוא(?: תוכן ההודעה| טקסט| התוכן)?|تجربة|نص تجريبي"
 )
-FILLER = rf"{FILLER_PHRASES}|\b(?:{FILLER_WORDS})\b|\b123\d*\b"
-CORE = f"(?iu)(?:{ERROR}|{REFUSAL}|{SCRIPTS})"
 #: Over a whole raw text, for an engine that reads all alternatives at once: any cue, or a status code by itself.
 ANY_CUE = (
     rf"(?i)(?:{ERROR}|{REFUSAL}|{SCRIPTS}|{FILLER_PHRASES}".replace(r"\b", "").replace(r"\p{IsHebrew}", r"\p{Hebrew}").replace(" ?", r"\s*").replace(" ", r"\s+")
     + rf"|(?:^|[^\pL])(?:{FILLER_WORDS})(?:$|[^\pL])|(?:^|\D)[45]\d\d(?:\D|$))"
 )
-QUOTED = r"^\s*(?:>|[\"“„«])"
+#: A blank slot leaves a gap in its line: a mark behind a space, two spaces, or an end behind a space or colon.
+GAP = r"\s[,.!?;]|[^\s]\s\s|[\s:]$"
+
+
+def _re2(pattern: str) -> str:
+    """A pattern of listed cues for an engine that reads all alternatives at once and knows word boundaries of ASCII only."""
+    return pattern.replace(r"\p{IsHebrew}", r"\p{Hebrew}")
+
 
+def statement() -> str:
+    """The SQL over a batch ``b(k, x)``: what is kept of every document."""
+    between = r"[^\pL\pN]+"
+    words = rf"(?i) (?:{FILLER_WORDS}|123\d*) "  # every word stands between spaces of its own
+    phrases = _re2(f"(?i){FILLER_PHRASES}")
+    filler = f"regexp_replace(regexp_replace(' ' || regexp_replace(regexp_replace(z.s, {_quoted(phrases)}, ' ', 'g'), {_quoted(between)}, '  ', 'g') || ' ', {_quoted(words)}, ' ', 'g'), ' +', '', 'g') = ''"
+    core = _re2(f"(?i)(?:{ERROR}|{REFUSAL}|{SCRIPTS})")
+    static = "trim(regexp_replace(regexp_replace(s, '\\b[0-9a-f]{6,40}\\b', '#', 'g'), '\\d+', '#', 'g'), ' .,:;!?' || chr(9))"
+    return rf"""
+WITH p AS (SELECT k, x, coalesce(regexp_matches(x, {_quoted(MARKED)}), false) AS marked, regexp_matches(x, {_quoted(ANY_CUE)}) AS cue FROM b),
+c AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(lower(x), '[
+]+', chr(10), 'g'), '([.!?…])\s+', '' || chr(10), 'g'), '\s+[-–—]\s+', chr(10), 'g'), chr(10)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: regexp_matches(s, '[\pL\pN]')) AS parts,
+  list_filter(list_transform(string_split_regex(x, '[
 
-def segments(text: Column) -> Column:
-    """Lines and sentences with numbers and ids masked, lower case, without the punctuation around them."""
-    parts = F.split(text, r"[\n\r]+|(?<=[.!?…])\s+|\s+[-–—]\s+")
-    plain = F.transform(parts, lambda s: F.trim(F.when(s.rlike(r"\s\s|[^\S ]"), F.regexp_replace(F.lower(s), r"\s+", " ")).otherwise(F.lower(s))))
-    return F.filter(plain, lambda s: s.rlike(r"[\p{L}\p{N}]"))
+]+'), lambda s: {{'l': s, 's': trim(regexp_replace(lower(s), '[^\pL]+', ' ', 'g'))}}), lambda z: regexp_matches(z.s, '\pL+ \pL+ \pL')) AS ls FROM p)
+SELECT k AS doc_id, CASE WHEN marked THEN x END AS t,
+  list_transform(list_transform(parts, lambda s: {{'s': s, 'k': {static}}}), lambda z: {{'h': (hash(z.k) >> 1)::BIGINT, 'k': CASE WHEN cue THEN z.k END, 'w': len(list_filter(string_split_regex(z.s, '[^\pL\pN'']+'), lambda w: w <> ''))::INTEGER, 'q': regexp_matches(z.s, '^\s*(?:>|["“„«])'),
+    'core': cue AND (regexp_matches(z.s, {_quoted(core)}) AND NOT regexp_matches(z.s, '^\s*(?:>|["“„«])') OR {filler})}}) AS segs,
+  list_transform(ls, lambda z: {{'s': substr(md5(z.s), 1, 16), 'gap': regexp_matches(z.l, {_quoted(GAP)})}}) AS lines
+FROM c"""
 
 
-def skeleton(segment: Column) -> Column:
-    """A segment's static part: ids and numbers are slots."""
-    ids = r"(?<![\p{L}\p{N}])(?:(?=[0-9a-f]*\d)[0-9a-f]{6,40}|[a-f]{6})(?![\p{L}\p{N}])|\d+"
-    masked = F.when(segment.rlike(r"\d|\b[a-f]{6}\b"), F.regexp_replace(segment, ids, "#")).otherwise(segment)
-    return F.btrim(masked, F.lit(" .,:;!?\t"))
+_SCAN = "doc_id long, t string, segs array<struct<h: bigint, k: string, w: int, q: boolean, core: boolean>>, lines array<struct<s: string, gap: boolean>>"
 
 
-def cued(docs: DataFrame) -> DataFrame:
-    """Documents with any cue. The engine's automaton reads each text once for all alternatives, in Arrow partitions."""
-    sql = f"SELECT k AS doc_id, x AS t FROM b WHERE regexp_matches(x, {_quoted(ANY_CUE)})"
+def scanned(docs: DataFrame) -> DataFrame:
+    """``doc_id, t, segs, lines`` of every document, written: hashes of segments and lines, the text only where it may hold a slot."""
+    sql = statement()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
         con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        schema = pa.schema([("doc_id", pa.int64()), ("t", pa.string())])
+        seg = pa.struct([("h", pa.int64()), ("k", pa.string()), ("w", pa.int32()), ("q", pa.bool_()), ("core", pa.bool_())])
+        line = pa.struct([("s", pa.string()), ("gap", pa.bool_())])
+        schema = pa.schema([("doc_id", pa.int64()), ("t", pa.string()), ("segs", pa.list_(seg)), ("lines", pa.list_(line))])
         for batch in batches:
-            con.register("b", pa.Table.from_batches([batch], schema=pa.schema([("k", pa.int64()), ("x", pa.string())])))
-            yield from con.sql(sql).to_arrow_table().cast(schema).to_batches()
-            con.unregister("b")
+            for at in range(0, batch.num_rows, 2000):
+                con.register("b", pa.Table.from_batches([batch.slice(at, 2000)], schema=pa.schema([("k", pa.int64()), ("x", pa.string())])))
+                yield from con.sql(sql).to_arrow_table().cast(schema).to_batches()
+                con.unregister("b")
 
-    return docs.select(F.col("doc_id").alias("k"), F.col("t").alias("x")).mapInArrow(run, "doc_id long, t string")
+    return cut(docs.select(F.col("doc_id").alias("k"), F.col("t").alias("x")).mapInArrow(run, _SCAN))
 
 
 def _word_count(segment: Column) -> Column:
     return F.size(F.filter(F.split(segment, r"[^\p{L}\p{N}']+"), lambda w: w != ""))
 
 
-def _filler_only(segment: Column) -> Column:
-    return segment.rlike(f"(?iu){FILLER}") & ~F.regexp_replace(segment, f"(?iu){FILLER}", " ").rlike(r"[\p{L}\p{N}]")
-
-
-def _is_core(segment: Column) -> Column:
-    """A message of its own, not a quotation."""
-    return _filler_only(segment) | (segment.rlike(CORE) & ~segment.rlike(QUOTED))
-
+def placeholders(scan: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``doc_id`` of the documents with a slot that keeps a variable name or an instruction, and the ``key`` of every variable.
 
-def placeholders(docs: DataFrame) -> DataFrame:
-    """``doc_id`` of the documents with a slot that keeps a variable name, an instruction or nothing."""
-    wrapped = docs.where(F.col("t").rlike(MARKED)).select("doc_id", F.explode(F.array_distinct(F.concat(F.transform(F.regexp_extract_all("t", F.lit(f"({STRONG})"), 1), lambda x: F.struct(F.lit(True).alias("strong"), x.alias("w"))), F.transform(F.regexp_extract_all("t", F.lit(f"({WEAK})"), 1), lambda x: F.struct(F.lit(False).alias("strong"), x.alias("w")))))).alias("p"))
-    slots = wrapped.select("doc_id", "p.strong", F.trim(F.regexp_replace("p.w", r"^[^\p{L}]*|[^\p{L}\p{N}]*$", "")).alias("name"), F.regexp_extract("p.w", r"^[^\p{L}\s]+", 0).alias("open"))
-    # names that the corpus wraps in several ways are variables
-    variables = slots.groupBy(F.lower("name").alias("key")).agg(F.max("strong").alias("known"), F.approx_count_distinct("open").alias("kinds")).where("known or kinds > 1").select("key")
-    sure = F.col("strong") | F.col("name").rlike(IDENTIFIER) | F.col("name").rlike(INSTRUCTION)
+    Delimiters that wrap at least ``least`` different variables, and mostly variables, are learned.
+    """
+    marked = scan.where("t is not null").select("doc_id", "t")
+    found = lambda pattern, kind: F.transform(F.regexp_extract_all("t", F.lit(f"({pattern})"), 1), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("w")))
+    wrapped = marked.select("doc_id", F.explode(F.array_distinct(F.concat(found(STRONG, "strong"), found(WEAK, "weak"), found(ANY_MARKS, "any")))).alias("p"))
+    outer = r"^[^\p{L}]*|[^\p{L}\p{N}]*$"
+    slots = cut(wrapped.select("doc_id", "p.kind", F.trim(F.regexp_replace("p.w", outer, "")).alias("name"), F.regexp_extract("p.w", r"^[^\p{L}\s]+", 0).alias("open"), F.regexp_extract("p.w", r"[^\p{L}\p{N}\s]+$", 0).alias("close")).withColumn("key", F.lower("name")))
+    # names that templates' delimiters hold, or that listed brackets wrap in several ways, are variables
+    by_name = slots.where("kind <> 'any'").groupBy("key").agg(F.max(F.col("kind") == "strong").alias("known"), F.min("open").alias("a"), F.max("open").alias("b"))
+    variables = cut(by_name.where("known or a <> b").select("key"))
+    marks = slots.where("kind = 'any'").join(variables.withColumn("is_variable", F.lit(True)), "key", "left").groupBy("open", "close", "key").agg(F.first("is_variable").alias("v")).groupBy("open", "close").agg(F.count("v").alias("held"), F.count(F.lit(1)).alias("all"))
+    learned = marks.where((F.col("held") >= least) & (F.col("held") * 2 > F.col("all"))).select("open", "close")
+    listed = slots.where("kind <> 'any'").select("open", "close").distinct()
+    learned = learned.join(listed, ["open", "close"], "left_anti")  # listed brackets have their own rules
+    sure = (F.col("kind") == "strong") | ((F.col("kind") == "weak") & (F.col("name").rlike(IDENTIFIER) | F.col("name").rlike(INSTRUCTION)))
     by_form = slots.where(sure).select("doc_id")
-    by_corpus = slots.where(~sure).withColumn("key", F.lower("name")).join(variables, "key", "left_semi").select("doc_id")
-    return by_form.unionByName(by_corpus).distinct()
-
-
-def blank_forms(docs: DataFrame, least_records: int = 3) -> DataFrame:
-    """``doc_id`` of documents with a line that is aligned with a template line but has nothing in its slots."""
-    def keyed(rows: DataFrame) -> DataFrame:
-        static = F.lower(F.regexp_replace(F.regexp_replace("line", f"{STRONG}|{WEAK}", " "), r"[^\p{L}]+", " "))
-        return rows.select("doc_id", F.col("line").rlike(STRONG).alias("slot"), F.trim(static).alias("static"))
-
-    def lines(rows: DataFrame) -> DataFrame:
-        return rows.select("doc_id", F.explode(F.split("t", r"[\n\r]+")).alias("line"))
-
-    marked = lines(docs.where(F.col("t").rlike(MARKED))).where(F.col("line").rlike(MARKED))
-    template = keyed(marked).where("slot").where(_word_count(F.col("static")) >= 3)
-    known = cut(template.groupBy("static").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_records))
-    # a blank slot leaves a gap: a mark behind a space, two spaces, or an end behind a space or colon
-    gap = r"\s[,.!?;]|[^\s]\s\s|[\s:]$"
-    blank = cut(keyed(lines(docs).where(F.col("line").rlike(gap))).where("not slot").join(known, "static").select("doc_id", "static", "n"))
-    if blank.isEmpty():
-        return blank.select("doc_id")
+    by_corpus = slots.where((F.col("kind") == "weak") & ~sure).join(variables, "key", "left_semi").select("doc_id")
+    by_marks = slots.where("kind = 'any'").join(learned, ["open", "close"], "left_semi").select("doc_id")
+    return by_form.unionByName(by_corpus).unionByName(by_marks).distinct(), variables
+
+
+def _key(static: Column) -> Column:
+    return F.substring(F.md5(static), 1, 16)
+
+
+def blank_forms(scan: DataFrame, variables: DataFrame, least_records: int = 3) -> DataFrame:
+    """``doc_id`` of documents with a line that is aligned with a template line but has nothing in its slots, or a variable's bare name."""
+    marked = scan.where("t is not null").select("doc_id", F.explode(F.split("t", r"[\n\r]+")).alias("line")).where(F.col("line").rlike(STRONG))
+    letters = lambda c: F.trim(F.lower(F.regexp_replace(c, r"[^\p{L}]+", " ")))
+    template = cut(marked.select("line", letters(F.regexp_replace("line", f"{STRONG}|{WEAK}", " ")).alias("static")).where(_word_count(F.col("static")) >= 3))
+    known = template.groupBy("static").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_records).select(_key(F.col("static")).alias("s"), "n")
+    # the same lines with a variable's name where the slot stands; a letter that no text uses marks the slot
+    gap = "\u0298"
+    shapes = template.select(F.regexp_extract_all("line", F.lit(f"({STRONG})"), 1).alias("w"), letters(F.regexp_replace("line", STRONG, f" {gap} ")).alias("shape")).where(F.size("w") == 1).groupBy("shape").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_records)
+    bare = shapes.crossJoin(F.broadcast(_few(variables))).select(_key(F.replace("shape", F.lit(gap), letters(F.col("key")))).alias("s")).distinct()
+    lines = scan.select("doc_id", F.explode("lines").alias("x")).select("doc_id", "x.s", "x.gap")
+    kept_name = lines.join(bare, "s", "left_semi").select("doc_id")
+    met = cut(lines.join(known, "s").groupBy("doc_id", "s", "gap").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")))
     # a sentence that often stands without any slot is no template; the blank ones are not counted against it
-    gaps = blank.groupBy("static").agg(F.count(F.lit(1)).alias("blanks"))
-    plain = keyed(lines(docs).where(~F.col("line").rlike(gap))).where("not slot").join(gaps.select("static"), "static", "left_semi").groupBy("static").agg(F.count(F.lit(1)).alias("m"))
-    kept = gaps.join(plain, "static", "left").select("static", "blanks", F.coalesce("m", F.lit(0)).alias("m"))
-    return blank.join(kept, "static").where("m < n + blanks").select("doc_id").distinct()
+    counts = met.groupBy("s").agg(F.sum(F.when(F.col("gap"), F.col("k")).otherwise(0)).alias("blanks"), F.sum(F.when(F.col("gap"), 0).otherwise(F.col("k"))).alias("m"))
+    blank = met.where("gap").join(counts, "s").where("m < n + blanks").select("doc_id")
+    return blank.unionByName(kept_name).distinct()
+
+
+def _few(variables: DataFrame, most: int = 10_000) -> DataFrame:
+    """The variables, checked to be few: templates have no more."""
+    if variables.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} variables")
+    return variables
 
 
 def _edged(k: Column) -> Column:
@@ -170,32 +204,73 @@ def joined(parts: DataFrame, furniture: DataFrame) -> DataFrame:
     return spans.groupBy("h", "size").agg(reached.alias("r")).where(F.array_contains("r", F.col("size"))).select("h")
 
 
-def pages(docs: DataFrame, long: int = 8, title: int = 4, least_share: float = 0.5) -> DataFrame:
+def templates(segs: DataFrame, whole: DataFrame, core: DataFrame, title: int = 4, least: int = 3, share: float = 0.5) -> DataFrame:
+    """``h`` of the segments of page templates that are confirmed by one in ``core``.
+
+    ``segs`` has one row for each document and segment, ``whole`` one document for all with the same segments. A document is closed
+    when all of its segments but a short title are in the vocabulary, and a segment stays in it when it stands in
+    ``least`` closed documents and these are ``share`` of all that hold it. The vocabulary only shrinks, so the rounds end.
+    """
+    s = segs.select("doc_id", "h", "w", "q").join(whole, "doc_id", "left_semi")
+    page = cut(s.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+    size = page.count()
+    while True:
+        new = F.col("p").isNull()
+        flagged = s.join(page.select("h", F.lit(1).alias("p")), "h", "left").groupBy("doc_id")
+        flagged = flagged.agg(F.sum(new.cast("int")).alias("u"), F.max(F.when(new, F.col("w")).otherwise(0)).alias("uw"), F.max(new & F.col("q")).alias("uq"), F.count("p").alias("k"))
+        closed = flagged.where((F.col("k") > 0) & ~F.col("uq") & (F.col("u") <= 1) & (F.col("uw") <= title)).select("doc_id")
+        s = cut(s.join(closed, "doc_id", "left_semi"))
+        held = s.groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+        page = cut(page.join(held, "h").where((F.col("c") >= least) & (F.col("c") >= share * F.col("n"))).select("h", "n"))
+        before, size = size, page.count()
+        if size == before:
+            break
+    # a segment is confirmed where several, or most, of its closed documents hold a confirmed one
+    s = cut(s.join(page.select("h"), "h", "left_semi").select("doc_id", "h"))
+    known = cut(page.select("h").join(core, "h", "left_semi"))
+    size = known.count()
+    while size:
+        pages_of = s.join(known, "h", "left_semi").select("doc_id", F.lit(1).alias("l")).distinct()
+        near = s.join(pages_of, "doc_id", "left").groupBy("h").agg(F.count("l").alias("l"), F.count(F.lit(1)).alias("n"))
+        known = cut(near.where((F.col("l") >= least) | (F.col("l") >= share * F.col("n"))).select("h").unionByName(known).distinct())
+        before, size = size, known.count()
+        if size == before:
+            break
+    return known
+
+
+def pages(scan: DataFrame, long: int = 8, title: int = 4, least_share: float = 0.5) -> DataFrame:
     """``doc_id`` of documents that are nothing but a message, filler and page furniture.
 
     Furniture is counted in all documents with a core, and only what is left of a line without it is judged. A segment
     of more than ``long`` words is furniture when it stands under different messages; a post that was copied keeps its own.
     """
-    described = cued(docs).select("doc_id", segments(F.col("t")).alias("s"))
-    described = described.select("doc_id", F.transform("s", lambda s: F.struct(skeleton(s).alias("k"), _is_core(s).alias("core"), _word_count(s).alias("words"), F.length(s).alias("size"), s.rlike(QUOTED).alias("quoted"))).alias("s"))
-    likely = cut(described.where(F.exists("s", lambda x: x.core) & ~F.exists("s", lambda x: ~x.core & x.quoted)))
-    message = F.xxhash64(F.array_sort(F.array_distinct(F.transform(F.filter("s", lambda x: x.core), lambda x: x.k))))
-    parts = cut(likely.select("doc_id", message.alias("message"), F.explode("s").alias("x")).where("not x.core").select("doc_id", "message", F.xxhash64("x.k").alias("h"), "x.k", "x.words", "x.size"))
+    rows = scan.where(F.size("segs") > 0).select("doc_id", F.array_distinct("segs").alias("segs"))
+    segs = cut(rows.select("doc_id", F.explode("segs").alias("x")).select("doc_id", "x.*"))
+    whole = rows.groupBy(F.xxhash64(F.array_sort(F.transform("segs", lambda x: x.h))).alias("g")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    core = cut(segs.where("core").select("h").distinct())
+    learned = templates(segs, whole, core, title)
+    some = segs.join(learned, "h", "left_semi").select("doc_id").distinct()
+    made = segs.join(some, "doc_id", "left_semi").join(learned.withColumn("p", F.lit(1)), "h", "left").groupBy("doc_id")
+    made = made.agg(F.sum(F.col("p").isNull().cast("int")).alias("u"), F.max(F.when(F.col("p").isNull(), F.col("w")).otherwise(0)).alias("uw"), F.max(F.col("p").isNull() & F.col("q")).alias("uq"), F.count("p").alias("k"))
+    of_templates = made.where((F.col("u") == 0) | ((F.col("u") == 1) & (F.col("uw") <= title) & ~F.col("uq") & (F.col("k") > 1))).select("doc_id")
+
+    known = segs.join(core.withColumn("is_core", F.lit(True)), "h", "left").withColumn("is_core", F.coalesce("is_core", F.lit(False)))
+    held = cut(known.join(segs.join(core, "h", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi"))
+    held = held.join(held.where("q and not is_core").select("doc_id").distinct(), "doc_id", "left_anti")
+    message = held.where("is_core").groupBy("doc_id").agg(F.xxhash64(F.array_sort(F.collect_set("h"))).alias("message"))  # the cores of one document
+    parts = cut(held.where("not is_core").join(message, "doc_id"))
     # what stands in one page only is no furniture, and only a short one can be a title
-    in_pages = cut(parts.groupBy("h").agg(F.first("k").alias("k"), F.max("words").alias("words"), F.max("size").alias("size"), F.countDistinct("doc_id").alias("in_pages"), F.countDistinct("message").alias("messages")))
-    able = in_pages.where((F.col("words") <= title) | ((F.col("in_pages") > 1) & ((F.col("words") <= long) | (F.col("messages") > 1))))
-    # nothing longer than the longest piece of a page can be furniture
-    longest = able.agg(F.max("size")).first()[0] or 0
-    short = F.filter(segments(F.col("t")), lambda s: F.length(s) <= longest)
-    everywhere = docs.select(F.explode(F.array_distinct(F.transform(short, lambda s: F.xxhash64(skeleton(s))))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    share = able.join(everywhere, "h").select("h", "k", "words", (F.col("in_pages") / F.col("n")).alias("share"), "n")
-    share = cut(share.where(F.col("share") >= least_share))
-    # furniture stands mostly in pages; a title is short and says the same nowhere else in prose
+    in_pages = parts.groupBy("h").agg(F.first("k", ignorenulls=True).alias("k"), F.max("w").alias("w"), F.countDistinct("doc_id").alias("in_pages"), F.countDistinct("message").alias("messages"))
+    able = in_pages.where((F.col("w") <= title) | ((F.col("in_pages") > 1) & ((F.col("w") <= long) | (F.col("messages") > 1))))
+    everywhere = segs.join(able.select("h"), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    share = cut(able.join(everywhere, "h").where(F.col("in_pages") >= F.col("n") * least_share).select("h", "k", "w", "n"))
     furniture = share.where("n > 2")
-    plain = cut(furniture.select("h").unionByName(share.where(F.col("words") <= title).select("h")).distinct())
-    rest = in_pages.join(plain, "h", "left_anti").select("h", "k")
-    prose = parts.select("doc_id", "h").join(plain.unionByName(joined(rest, furniture)), "h", "left_anti")
-    return likely.select("doc_id").join(prose, "doc_id", "left_anti")
+    # furniture stands mostly in pages; a title is short and says the same nowhere else in prose
+    plain = cut(furniture.select("h").unionByName(share.where(F.col("w") <= title).select("h")).unionByName(learned).distinct())
+    rest = parts.join(plain, "h", "left_anti").where("k is not null").groupBy("h").agg(F.first("k").alias("k"))
+    prose = parts.select("doc_id", "h").join(plain.unionByName(joined(rest, furniture.where("k is not null"))), "h", "left_anti")
+    return held.select("doc_id").distinct().join(prose.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(of_templates).distinct()
 
 
 def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
@@ -204,8 +279,9 @@ def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 def found(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` of every document with residue or in place of a post."""
-    docs = _texts(documents, key, text)
-    return placeholders(docs).unionByName(blank_forms(docs)).unionByName(pages(docs)).distinct()
+    scan = scanned(_texts(documents, key, text))
+    kept, variables = placeholders(scan)
+    return kept.unionByName(blank_forms(scan, variables)).unionByName(pages(scan)).distinct()
 
 
 def clean(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -50,3 +50,31 @@ def test_blank_forms_outnumber_filled_ones(spark):
     rows += [(100 + i, "the {{n}} of my knees") for i in range(3)] + [(110, "the  of my knees")] + [(120 + i, "the of my knees") for i in range(5)]
     found = {r.doc_id for r in residue.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {*range(4), *range(10, 40), *range(100, 103)}
+
+
+def _pages(n: int) -> list[str]:
+    cores = ["404 Not Found", "Доступ запрещён. Войдите на форум.", "המערכת בתחזוקה", "Ce forum dort", "Kein Zutritt hier"]
+    feet = ["Request id {:06x}", "Login | Register", "Powered by board engine, build {:06x}", "Zurueck"]
+    return [f"{cores[i % 5]}\n{feet[i % 4].format(i * 7919)}" + (f"\n{feet[(i + 1) % 4].format(i * 31)}" if i % 3 == 0 else "") for i in range(n)]
+
+
+def test_pages_are_learned_beyond_the_listed_cues(spark):
+    # one listed core; the others share furniture with it. Posts repeat sentences among their own, and copies of a post count once
+    rows = list(enumerate(_pages(60)))
+    posts = [f"my knees hurt since day {i}x{'abcdefgh'[i % 8]}{i}q\nany advice for me\nthanks in advance" for i in range(60)]
+    rows += [(100 + i, t) for i, t in enumerate(posts)] + [(200 + i, "I sleep badly\nsince the winter came\nand my son is ill") for i in range(9)]
+    found = {r.doc_id for r in residue.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == set(range(60))
+
+
+def test_delimiters_are_learned(spark):
+    rows = [(i, f"hello {{{{{n}}}}} there") for i, n in enumerate(("user_name", "date", "title", "body"))] + [(10 + i, f"dear ~{n}~ hi") for i, n in enumerate(("user_name", "date", "title", "board_x"))]
+    rows += [(20, "a *sigh* b"), (21, "so *date* it"), (22, "x *much* y"), (23, "z *more* u")]
+    found = {r.doc_id for r in residue.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0, 1, 2, 3, 10, 11, 12, 13}
+
+
+def test_a_bare_name_in_a_slot(spark):
+    rows = [(i, f"Hello {{{{user_name}}}}, you have a new reply in topic {i}") for i in range(4)] + [(9, "Hello user name, you have a new reply in topic 8"), (10, "Hello Dana, you have a new reply in topic 8")]
+    found = {r.doc_id for r in residue.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {0, 1, 2, 3, 9}
