@@ -65,7 +65,7 @@ ANY_CUE = (
     + rf"|(?:^|[^\pL])(?:{FILLER_WORDS})(?:$|[^\pL])|(?:^|\D)[45]\d\d(?:\D|$))"
 )
 #: A blank slot leaves a gap in its line: a mark behind a space, two spaces, or an end behind a space or colon.
-GAP = r"\s[,.!?;]|[^\s]\s\s|[\s:]$"
+GAP = r"[^\S\n][,.!?;]|\S[^\S\n][^\S\n]|(?:[^\S\n]|:)$"
 
 
 def _re2(pattern: str) -> str:
@@ -75,23 +75,32 @@ def _re2(pattern: str) -> str:
 
 def statement() -> str:
     """The SQL over a batch ``b(k, x)``: what is kept of every document."""
-    between = r"[^\pL\pN]+"
-    words = rf"(?i) (?:{FILLER_WORDS}|123\d*) "  # every word stands between spaces of its own
+    between, words = r"[^\pL\pN]+", rf"(?i) (?:{FILLER_WORDS}|0|123\d*) "  # every word stands between spaces of its own
     phrases = _re2(f"(?i){FILLER_PHRASES}")
-    filler = f"regexp_replace(regexp_replace(' ' || regexp_replace(regexp_replace(z.s, {_quoted(phrases)}, ' ', 'g'), {_quoted(between)}, '  ', 'g') || ' ', {_quoted(words)}, ' ', 'g'), ' +', '', 'g') = ''"
-    core = _re2(f"(?i)(?:{ERROR}|{REFUSAL}|{SCRIPTS})")
-    static = "trim(regexp_replace(regexp_replace(s, '\\b[0-9a-f]{6,40}\\b', '#', 'g'), '\\d+', '#', 'g'), ' .,:;!?' || chr(9))"
-    return rf"""
-WITH p AS (SELECT k, x, coalesce(regexp_matches(x, {_quoted(MARKED)}), false) AS marked, regexp_matches(x, {_quoted(ANY_CUE)}) AS cue FROM b),
-c AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(lower(x), '[
-]+', chr(10), 'g'), '([.!?…])\s+', '' || chr(10), 'g'), '\s+[-–—]\s+', chr(10), 'g'), chr(10)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: regexp_matches(s, '[\pL\pN]')) AS parts,
-  list_filter(list_transform(string_split_regex(x, '[
+    bare = f"regexp_replace(' ' || regexp_replace(regexp_replace(z.s, {_quoted(phrases)}, ' ', 'g'), {_quoted(between)}, '  ', 'g') || ' ', {_quoted(words)}, ' ', 'g')"
+    filler = f"(regexp_matches(z.s, {_quoted(_re2(f'(?i){FILLER_PHRASES}|{FILLER_WORDS}|123'))}) AND trim({bare}) = '')"
+    quoted = "substr({}, 1, 1) IN ('>', chr(34), '“', '„', '«')"
+    core = f"regexp_matches(z.s, {_quoted(f'(?i)(?:{ERROR}|{REFUSAL}|{SCRIPTS})')}) AND NOT {quoted.format('z.s')} OR {filler}"
+
+    def masked(x: str) -> str:
+        return rf"regexp_replace({x}, '\b[0-9a-f]{{6,40}}\b|\d+', '0', 'g')"
+
+    def split(x: str) -> str:
+        cut_up = rf"regexp_replace(regexp_replace(regexp_replace({x}, '([.!?…])\s+', '\1' || chr(10), 'g'), '\s+[-–—]\s+', chr(10), 'g'), ' +', ' ', 'g')"
+        return rf"list_filter(list_transform(string_split({cut_up}, chr(10)), lambda s: trim(s)), lambda s: regexp_matches(s, '[\pL\pN]'))"
 
-]+'), lambda s: {{'l': s, 's': trim(regexp_replace(lower(s), '[^\pL]+', ' ', 'g'))}}), lambda z: regexp_matches(z.s, '\pL+ \pL+ \pL')) AS ls FROM p)
+    def kept(parts: str, static: str, text: str, is_core: str) -> str:
+        fields = f"'h': (hash(z.k) >> 1)::BIGINT, 'k': {text}, 'w': len(list_filter(string_split(z.s, ' '), lambda t: t NOT IN ('>', '<', '|', '/', '-', '–', '—', '·', '•', '»', '«', '*', '&', '+', '=', '~', '#')))::INTEGER, 'q': {quoted.format('z.s')}, 'core': {is_core}"
+        return f"list_transform(list_transform({parts}, lambda s: {{'s': s, 'k': trim({static}, ' .,:;!?')}}), lambda z: {{{fields}}})"
+
+    # numbers and ids become one digit; in the few texts with a cue only behind the cue's own check
+    return rf"""
+WITH p AS (SELECT k, x, coalesce(regexp_matches(x, {_quoted(MARKED)}), false) AS marked, regexp_matches(x, {_quoted(ANY_CUE)}) AS cue, regexp_replace(translate(lower(x), chr(13), chr(10)), '[^\S\n ]', ' ', 'g') AS y,
+    string_split(regexp_replace(lower(regexp_replace(translate(x, chr(13), chr(10)), {_quoted('(?m)' + GAP)}, chr(1) || '\0', 'g')), '[^\pL\n\x01]+', ' ', 'g'), chr(10)) AS ls FROM b),
+c AS (SELECT *, list_filter(list_transform(ls, lambda s: {{'s': trim(replace(s, chr(1), '')), 'gap': contains(s, chr(1))}}), lambda z: length(z.s) - length(replace(z.s, ' ', '')) >= 2) AS lz FROM p)
 SELECT k AS doc_id, CASE WHEN marked THEN x END AS t,
-  list_transform(list_transform(parts, lambda s: {{'s': s, 'k': {static}}}), lambda z: {{'h': (hash(z.k) >> 1)::BIGINT, 'k': CASE WHEN cue THEN z.k END, 'w': len(list_filter(string_split_regex(z.s, '[^\pL\pN'']+'), lambda w: w <> ''))::INTEGER, 'q': regexp_matches(z.s, '^\s*(?:>|["“„«])'),
-    'core': cue AND (regexp_matches(z.s, {_quoted(core)}) AND NOT regexp_matches(z.s, '^\s*(?:>|["“„«])') OR {filler})}}) AS segs,
-  list_transform(ls, lambda z: {{'s': substr(md5(z.s), 1, 16), 'gap': regexp_matches(z.l, {_quoted(GAP)})}}) AS lines
+  CASE WHEN cue THEN {kept(split('y'), masked('s'), 'z.k', core)} ELSE {kept(split(masked('y')), 's', 'NULL::VARCHAR', 'false')} END AS segs,
+  list_transform(lz, lambda z: {{'s': substr(md5(z.s), 1, 16), 'gap': z.gap}}) AS lines
 FROM c"""
 
 
