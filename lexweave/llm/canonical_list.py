@@ -96,15 +96,18 @@ def similar(left: DataFrame, right: DataFrame, apart: int = EDITS_LONG + 2) -> D
     counts = dict(both.select(F.explode(F.transform(_grams(F.col("name")), cell)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("f")).collect())  # at most CELLS rows
     rarity = F.split(F.lit(",".join(str(counts.get(i, 0)) for i in range(CELLS))), ",").cast("array<long>")
 
+    tasks = 2 * max(both.sparkSession.sparkContext.defaultParallelism, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
+
     def keyed(df: DataFrame) -> DataFrame:
         ranked = F.array_sort(F.transform(_grams(F.col("name")), lambda g: F.struct(F.get(rarity, cell(g)).alias("f"), g.alias("g"))))
-        o = df.select("name", F.explode(F.array(F.transform(ranked, lambda x: x.g))).alias("s"))  # a generator keeps it from being computed again
+        # generators keep what lambdas use from being computed for every element; few bytes mean much work here, so they are spread
+        o = df.repartition(tasks, "name").select("name", F.explode(F.array(F.transform(ranked, lambda x: x.g))).alias("s"))
         n = F.size("s")
         # partners are shorter by `apart` bigrams at most and a few for words put together
         least = F.greatest(F.lit(2), F.ceil(n * _wanted(n - apart - 2) - 1e-9)).cast("int")
-        prefix = F.slice("s", F.lit(1), F.greatest(n - least + 2, F.lit(0)))
-        two = F.flatten(F.transform(prefix, lambda x, i: F.transform(F.slice("s", F.lit(1), F.least(i, n - least + 2)), lambda y: F.struct(F.xxhash64(y, x).alias("g"), i.alias("i")))))
-        return o.select("name", n.alias("n"), F.length("name").alias("size"), signature(F.col("s")).alias("sig"), F.explode(two).alias("x")).select("name", "n", "size", "sig", "x.g", "x.i")
+        p = o.select("name", n.alias("n"), F.length("name").alias("size"), signature(F.col("s")).alias("sig"), F.explode(F.array(F.slice("s", F.lit(1), F.greatest(n - least + 2, F.lit(0))))).alias("p"))
+        two = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", F.lit(1), i), lambda y: F.struct(F.xxhash64(y, x).alias("g"), i.alias("i")))))
+        return p.select("name", "n", "size", "sig", F.explode(two).alias("x")).select("name", "n", "size", "sig", "x.g", "x.i")
 
     a = keyed(left).withColumnsRenamed({"name": "left_name", "n": "ln", "size": "ll", "sig": "ls", "i": "li"})
     b = keyed(right).withColumnsRenamed({"name": "right_name", "n": "rn", "size": "rl", "sig": "rs", "i": "ri"})
