@@ -162,6 +162,19 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str =
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def decode(df: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``doc_id, text`` of rows ``doc_id, ids``: the texts that the ids stand for; no ids are the empty text."""
+    path = _path(folder, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = {i: piece for piece, i in encoder(path).ranks.items()}
+        for batch in batches:
+            texts = [b"".join(pieces[i] for i in ids or ()).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+
+
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, n_tokens``; null and empty texts have none."""
     path = _path(folder, vocabulary)

@@ -195,3 +195,11 @@ def fill(packed: DataFrame, capacity: int) -> DataFrame:
     """``containers, tokens, fill, lower_bound``: the share of the space used, and how few containers could do."""
     c = packed.where("n_tokens > 0").groupBy("container_id").agg(F.sum("n_tokens").alias("t"))
     return c.agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), (F.sum("t") / (F.count(F.lit(1)) * capacity)).alias("fill"), F.ceil(F.sum("t") / capacity).alias("lower_bound"))
+
+
+def check(packed: DataFrame, capacity: int) -> DataFrame:
+    """``n_docs, n_overfull, n_cut``: the documents in containers, the containers above capacity, and the documents cut without need (none should be)."""
+    over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t")).agg(F.coalesce(F.sum((F.col("t") > capacity).cast("long")), F.lit(0)).alias("n_overfull"))
+    docs = packed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("t"))
+    docs = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum(((F.col("k") > 1) & (F.col("t") <= capacity)).cast("long")), F.lit(0)).alias("n_cut"))
+    return docs.crossJoin(F.broadcast(over))  # one row

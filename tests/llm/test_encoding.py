@@ -46,3 +46,9 @@ def test_table(spark):
     assert (2, []) in got and (3, []) in got and len(got) == 5 and got[0] == got[4] and len(got[3][1]) == 1
     assert encoding.encode(df.limit(0)).count() == 0
     assert {r.doc_id: r.n_tokens for r in encoding.token_counts(df).collect()}[3] == 0
+
+
+def test_ids_stand_for_the_text(spark):
+    texts = ["", None, "שלום world  \n\n<|endoftext|> é́ 🙂", "a" * 5000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in encoding.decode(encoding.encode(df)).collect()} == {i: t or "" for i, t in enumerate(texts)}
