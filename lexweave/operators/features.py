@@ -45,18 +45,6 @@ def bigram_feature(instances: DataFrame, model: DataFrame, window: str = "match_
     return c.join(model, ["w1", "w2", "w3"], "left").select("inst_id", F.coalesce("p", F.lit(0.0)).alias("pred_2_window"))
 
 
-def interpolated(model_counts: DataFrame, most: int = 1_000_000) -> Callable[[str, str], float]:
-    """A scorer for ``window_probability`` from counts (``w1, w2, w3, p``): bounded models only, for tests and small languages.
-
-    A model of more than ``most`` triples is refused; ``bigram_feature`` joins one of any size.
-    """
-    rows = model_counts.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} triples")
-    table = {(r.w1, r.w2, r.w3): r.p for r in rows}
-    return lambda context, word: table.get((*(["", "", *context.split()][-2:]), word), 0.0)
-
-
 def window_probability(instances: DataFrame, scorer: Callable[[str, str], float], windows: tuple[str, ...] = ("match_3_window", "match_6_window", "match_10_window")) -> DataFrame:
     """``inst_id`` and P(match | window) for each window by a pluggable scorer, called in Arrow batches.
 

@@ -241,6 +241,7 @@ QUERIES = {
     "english_text": lambda s, d: table(s, d, "posts").select("post_id", X.english_text(F.col("post_txt")).alias("t")),
     "cleaned_text": lambda s, d: table(s, d, "posts").select("post_id", X.cleaned(F.col("post_txt")).alias("t")),
     "parser_input": lambda s, d: table(s, d, "posts").select("post_id", X.parser_input(F.col("post_txt")).alias("t")),
+    "one_spelling": lambda s, d: table(s, d, "posts").select("post_id", X.one_spelling(F.col("post_txt")).alias("t")),
     "display_words": lambda s, d: table(s, d, "posts").where("tokenized_text is not null").select("post_id", F.posexplode(X.display_words(F.col("tokenized_text"))).alias("pos", "w")),
     "usable_tokens": lambda s, d: table(s, d, "posts").where("tokenized_text is not null").select("post_id", F.posexplode(X.usable_tokens(F.col("tokenized_text"))).alias("pos", "token")),
     "classed_tokens": classed_tokens,

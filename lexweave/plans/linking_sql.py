@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexweave.config import CHEMICAL_TUIS, DISORDER_TUIS
-from lexweave.functions.text import TOKEN_CLASSES
+from lexweave.functions.text import TOKEN_CLASSES, digraphs
 from lexweave.plans.matching_sql import GRAMS as _GRAMS
 from lexweave.plans.matching_sql import RELOCATED, gestalt, matches
 from lexweave.plans.matching_sql import blank as _blank
@@ -106,7 +106,29 @@ _WINDOWS = f"""WITH {_CURRENT}, words AS (SELECT doc_id, {_WINDOW_WORDS.format(_
   p AS (SELECT inst_id, size, sum(power(0.5::DOUBLE, distance) * coalesce(p, 0)) / sum(power(0.5::DOUBLE, distance)) AS p FROM each LEFT JOIN lm USING (distance, before, term) GROUP BY ALL)
   SELECT c.inst_id, coalesce(a.p, 0) AS pred_3_window, coalesce(b.p, 0) AS pred_6_window, coalesce(d.p, 0) AS pred_10_window FROM cur c LEFT JOIN p a ON a.inst_id = c.inst_id AND a.size = '3' LEFT JOIN p b ON b.inst_id = c.inst_id AND b.size = '6' LEFT JOIN p d ON d.inst_id = c.inst_id AND d.size = '10'"""
 
+_STOP = "regexp_matches({}, '^[!|.?]')"
+_SENTENCES = f"""WITH x AS (SELECT post_id, list_filter(string_split_regex(tokenized_text, '\\s+'), lambda w: w <> '') AS w FROM posts WHERE tokenized_text IS NOT NULL),
+  e AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: {_STOP.format('w[i]')} AND (i = len(w) OR NOT {_STOP.format('w[i + 1]')})) AS ends FROM x),
+  s AS (SELECT post_id, w, ends, unnest(list_concat([0], ends)) AS b, unnest(list_concat(ends, [len(w)])) AS e, unnest(range(1, len(ends) + 2)) AS j FROM e),
+  c AS (SELECT *, CASE WHEN j <= len(ends) AND e - b > 150 THEN CAST(ceil((e - b - 150) / 140.0) AS BIGINT) + 1 ELSE 1 END AS many FROM s WHERE e > b),
+  k AS (SELECT *, unnest(range(1, many + 1)) AS k FROM c)
+  SELECT post_id, CAST(row_number() OVER (PARTITION BY post_id ORDER BY b, k) - 1 AS INTEGER) AS sentence_no, array_to_string(w[b + (k - 1) * 140 + 1 : CASE WHEN k = many THEN e ELSE b + k * 140 END], ' ') AS sentence FROM k"""
+
+
+def _replaced(x: str) -> str:
+    for a, b in (*digraphs().items(), ("\u200d", "")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
+def _letters_in(window: str) -> str:
+    return f"CASE WHEN {window} IS NULL OR cand_match IS NULL THEN 0.0::DOUBLE ELSE coalesce(list_sum(list_transform(string_split(cand_match, ''), lambda c: CASE WHEN contains({window}, c) THEN 1 ELSE 0 END)), 0)::DOUBLE / greatest(1, length(cand_match)) END"
+
+
 SQL = {
+    "sentences": _SENTENCES,
+    "one_spelling": f"SELECT post_id, {_replaced('post_txt')} AS t FROM posts",
+    "window_probability": f"WITH {_CURRENT} SELECT inst_id, {', '.join(f'{_letters_in(f"match_{k}_window")} AS pred_{k}_window' for k in (3, 6, 10))} FROM cur",
     "post_matches_located": f"{matches(_TYPE.replace('tui', 'm.tui'))} SELECT * FROM matches",
     "post_matches_relocated": RELOCATED,
     "matches_by_community": f"{matches(_TYPE.replace('tui', 'm.tui'))} SELECT community, semantic_type, count(*) AS n_matches, count(DISTINCT cui) AS n_concepts, count(DISTINCT post_id) AS n_posts FROM matches JOIN posts USING (post_id) GROUP BY community, semantic_type",

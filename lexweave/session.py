@@ -50,7 +50,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table below the shared checkpoint folder and go on from its files.
 
     Unlike a checkpointed plan, the files bring their true size: the estimates of a loop of joins would otherwise multiply
-    from round to round. The tables are removed when the driver's Python ends.
+    from round to round. The tables are removed by ``clear``, or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/lexweave-{uuid.uuid4().hex}"
@@ -62,11 +62,19 @@ def cut(df: DataFrame) -> DataFrame:
 _written: dict[SparkContext, list[str]] = {}
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove the tables written so far, for a long session whose earlier results are done with."""
+    context = spark.sparkContext
+    for path in _written.pop(context, []):
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _remove() -> None:
-    for context, paths in _written.items():
+    for context in list(_written):
         try:
-            for path in paths:
+            for path in _written.pop(context):
                 p = context._jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001  the JVM may be gone by then

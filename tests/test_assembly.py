@@ -99,3 +99,15 @@ def test_report_and_missing(spark):
 def test_digraphs(spark):
     assert {k: v for k, v in X.digraphs().items() if k in "װױײﭏ"} == {"װ": "וו", "ױ": "וי", "ײ": "יי", "ﭏ": "אל"}
     assert spark.createDataFrame([("aײ\u200db",)], "t string").select(X.one_spelling(F.col("t")).alias("t")).first().t == "aייb"
+
+
+def test_written_tables_are_removed(spark):
+    from pathlib import Path
+
+    from lexweave import session
+
+    first = session.cut(spark.range(3))
+    path = Path(first.inputFiles()[0].removeprefix("file:")).parent
+    assert path.exists() and first.count() == 3
+    session.clear(spark)
+    assert not path.exists() and session.cut(spark.range(2)).count() == 2

@@ -239,12 +239,3 @@ def test_in_place(spark):
     texts = spark.createDataFrame([("f", "aa bb")], "file_name string, text string")
     assert {r.term: r.ok for r in evaluate.in_place(spans, texts).collect()} == {"bb": True, "zz": False}
     assert SequenceMatcher(None, "bb", "bb").ratio() == 1
-
-
-def test_a_scorer_refuses_a_model_above_its_bound(spark):
-    from lexweave.operators import features
-
-    model = spark.createDataFrame([("a", "b", "c", 0.5), ("a", "b", "d", 0.25)], "w1 string, w2 string, w3 string, p double")
-    assert features.interpolated(model, 2)("x a b", "d") == 0.25
-    with pytest.raises(ValueError):
-        features.interpolated(model, 1)
