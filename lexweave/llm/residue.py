@@ -213,16 +213,22 @@ def joined(parts: DataFrame, furniture: DataFrame) -> DataFrame:
     return spans.groupBy("h", "size").agg(reached.alias("r")).where(F.array_contains("r", F.col("size"))).select("h")
 
 
-def templates(segs: DataFrame, whole: DataFrame, core: DataFrame, title: int = 4, least: int = 3, share: float = 0.5) -> DataFrame:
+def templates(rows: DataFrame, core: DataFrame, title: int = 4, least: int = 3, share: float = 0.5) -> DataFrame:
     """``h`` of the segments of page templates that are confirmed by one in ``core``.
 
-    ``segs`` has one row for each document and segment, ``whole`` one document for all with the same segments. A document is closed
+    ``rows`` has the distinct segments of each document as a list; of documents with the same segments one counts. A document is closed
     when all of its segments but a short title are in the vocabulary, and a segment stays in it when it stands in
     ``least`` closed documents and these are ``share`` of all that hold it. The vocabulary only shrinks, so the rounds end.
     """
-    s = segs.select("doc_id", "h", "w", "q").join(whole, "doc_id", "left_semi")
-    page = cut(s.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+    same = F.xxhash64(F.array_sort(F.transform("segs", lambda x: x.h)))
+    whole = rows.groupBy(same.alias("g")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    longest = F.array_max(F.transform("segs", lambda x: F.struct(x.w.alias("w"), x.h.alias("h"))))
+    alone = rows.select("doc_id", F.transform("segs", lambda x: F.struct(x.h.alias("h"), x.w.alias("w"), x.q.alias("q"))).alias("segs"), longest.alias("l")).join(whole, "doc_id", "left_semi")
+    page = cut(alone.select(F.explode(F.transform("segs", lambda x: x.h)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
     size = page.count()
+    # a document whose longest segment is no title and does not repeat is not closed: most go by one look at it
+    held = alone.where(F.col("l.w") <= title).unionByName(alone.where(F.col("l.w") > title).join(page.select(F.col("h").alias("lh")), F.col("l.h") == F.col("lh"), "left_semi"))
+    s = cut(held.select("doc_id", F.explode("segs").alias("x")).select("doc_id", "x.*"))
     while True:
         new = F.col("p").isNull()
         flagged = s.join(page.select("h", F.lit(1).alias("p")), "h", "left").groupBy("doc_id")
@@ -256,9 +262,8 @@ def pages(scan: DataFrame, long: int = 8, title: int = 4, least_share: float = 0
     """
     rows = scan.where(F.size("segs") > 0).select("doc_id", F.array_distinct("segs").alias("segs"))
     segs = cut(rows.select("doc_id", F.explode("segs").alias("x")).select("doc_id", "x.*"))
-    whole = rows.groupBy(F.xxhash64(F.array_sort(F.transform("segs", lambda x: x.h))).alias("g")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     core = cut(segs.where("core").select("h").distinct())
-    learned = templates(segs, whole, core, title)
+    learned = templates(rows, core, title)
     some = segs.join(learned, "h", "left_semi").select("doc_id").distinct()
     made = segs.join(some, "doc_id", "left_semi").join(learned.withColumn("p", F.lit(1)), "h", "left").groupBy("doc_id")
     made = made.agg(F.sum(F.col("p").isNull().cast("int")).alias("u"), F.max(F.when(F.col("p").isNull(), F.col("w")).otherwise(0)).alias("uw"), F.max(F.col("p").isNull() & F.col("q")).alias("uq"), F.count("p").alias("k"))
