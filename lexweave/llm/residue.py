@@ -254,10 +254,11 @@ def pages(scan: DataFrame, long: int = 8, title: int = 4, least_share: float = 0
     Furniture is counted in all documents with a core, and only what is left of a line without it is judged. A segment
     of more than ``long`` words is furniture when it stands under different messages; a post that was copied keeps its own.
     """
-    rows = scan.where(F.size("segs") > 0).select("doc_id", F.array_distinct("segs").alias("segs"))
+    full = scan.where(F.size("segs") > 0)
+    rows = full.select("doc_id", F.array_distinct(F.transform("segs", lambda x: F.struct(x.h.alias("h"), x.k.alias("k"), x.w.alias("w"), x.q.alias("q")))).alias("segs"))
     segs = cut(rows.select("doc_id", F.explode("segs").alias("x")).select("doc_id", "x.*"))
     whole = rows.groupBy(F.xxhash64(F.array_sort(F.transform("segs", lambda x: x.h))).alias("g")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    core = cut(segs.where("core").select("h").distinct())
+    core = cut(full.select(F.explode(F.transform(F.filter("segs", lambda x: x.core), lambda x: x.h)).alias("h")).distinct())
     learned = templates(segs, whole, core, title)
     some = segs.join(learned, "h", "left_semi").select("doc_id").distinct()
     made = segs.join(some, "doc_id", "left_semi").join(learned.withColumn("p", F.lit(1)), "h", "left").groupBy("doc_id")
@@ -270,8 +271,8 @@ def pages(scan: DataFrame, long: int = 8, title: int = 4, least_share: float = 0
     message = held.where("is_core").groupBy("doc_id").agg(F.xxhash64(F.array_sort(F.collect_set("h"))).alias("message"))  # the cores of one document
     parts = cut(held.where("not is_core").join(message, "doc_id"))
     # what stands in one page only is no furniture, and only a short one can be a title
-    in_pages = parts.groupBy("h").agg(F.first("k", ignorenulls=True).alias("k"), F.max("w").alias("w"), F.countDistinct("doc_id").alias("in_pages"), F.countDistinct("message").alias("messages"))
-    able = in_pages.where((F.col("w") <= title) | ((F.col("in_pages") > 1) & ((F.col("w") <= long) | (F.col("messages") > 1))))
+    in_pages = parts.groupBy("h").agg(F.first("k", ignorenulls=True).alias("k"), F.max("w").alias("w"), F.count(F.lit(1)).alias("in_pages"), F.min("message").alias("a"), F.max("message").alias("b"))
+    able = in_pages.where((F.col("w") <= title) | ((F.col("in_pages") > 1) & ((F.col("w") <= long) | (F.col("a") != F.col("b")))))
     everywhere = segs.join(able.select("h"), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     share = cut(able.join(everywhere, "h").where(F.col("in_pages") >= F.col("n") * least_share).select("h", "k", "w", "n"))
     furniture = share.where("n > 2")
