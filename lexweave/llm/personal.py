@@ -144,7 +144,7 @@ def plain_view(text: str) -> tuple[str, list[int] | None]:
 
 # ---- what personal data looks like ------------------------------------------------------------------------------------
 
-_DOT = r"(?:\s?\.\s?|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+|\s+נקודה\s+|\s+точка\s+)"
+_DOT = r"(?:\.|\s\.\s|\s?[(\[{]\s?dot\s?[)\]}]\s?|\s+dot\s+|\s+נקודה\s+|\s+точка\s+)"
 _AT_WORDS = "שטרודל|כרוכית|собака"
 _AT = rf"(?:\s?@\s?|\s?[(\[{{]\s?at?\s?[)\]}}]\s?|\s+(?:{_AT_WORDS})\s+)"
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9_%+-]|\.(?=[A-Za-z0-9]))*"
@@ -410,8 +410,11 @@ def _evidence(batches: Iterator[pa.RecordBatch], given: frozenset[str]) -> Itera
             if not hits:
                 continue
             held = {i for a, b in (_names(s, given) if CUES["name"].search(s) else ()) for i in range(a, b)}
+            mails = [m.span() for m in EMAIL.finditer(s)] if CUES["email"].search(s) else []
             for m in hits:
                 word = m.group()
+                if any(a <= m.start() < b for a, b in mails):
+                    continue
                 if m.start() in held:
                     announced[word.lower()] += 1
                 elif not word[0].isascii() or word[0].islower():

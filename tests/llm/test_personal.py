@@ -98,12 +98,13 @@ def test_listed_names_anywhere():
 
 def test_listed_names_that_are_words(spark):
     rows = [(i, "there is hope, Rose said. nurse Dana was kind") for i in range(4)] + [(9, "nurse Hope was kind. Hope rose"), (10, None), (11, "פגשתי את דנה")]
+    rows += [(20 + i, "mail rose@x.example. V. Zimbelle from the group said so, dana (a) x.example") for i in range(9)]
     posts = spark.createDataFrame([(i, t, None) for i, t in rows], "post_id long, post_txt string, tokenized_text string")
     assert P.ordinary_words(posts, frozenset({"hope", "rose", "dana", "דנה"})) == {"hope"}
     names = spark.createDataFrame([("Hope",), ("Rose",), ("Dana",), ("דנה",), (None,)], "given_name string")
     found = P.find(posts, names, b"k").where("kind = 'name'").collect()
     text = dict(rows)
-    assert {(r.post_id, text[r.post_id][r.start_offset : r.end_offset]) for r in found} == {(i, n) for i in range(4) for n in ("Rose", "Dana")} | {(9, "Hope"), (11, "דנה")}
+    assert {(r.post_id, text[r.post_id][r.start_offset : r.end_offset]) for r in found} == {(i, n) for i in range(4) for n in ("Rose", "Dana")} | {(9, "Hope"), (11, "דנה")} | {(20 + i, "V. Zimbelle") for i in range(9)}
 
 
 def test_streets_and_other_ways():
