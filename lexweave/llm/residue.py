@@ -254,19 +254,21 @@ def pages(scan: DataFrame, long: int = 8, title: int = 4, least_share: float = 0
     Furniture is counted in all documents with a core, and only what is left of a line without it is judged. A segment
     of more than ``long`` words is furniture when it stands under different messages; a post that was copied keeps its own.
     """
+    # a static part without letters says nothing: a bare status code is a core where it stands, other bare numbers are none
+    bare = lambda x: F.coalesce(~x.k.rlike(r"\p{L}"), F.lit(False))
     full = scan.where(F.size("segs") > 0)
-    rows = full.select("doc_id", F.array_distinct(F.transform("segs", lambda x: F.struct(x.h.alias("h"), x.k.alias("k"), x.w.alias("w"), x.q.alias("q")))).alias("segs"))
+    rows = full.select("doc_id", F.array_distinct(F.transform("segs", lambda x: F.struct(x.h.alias("h"), x.k.alias("k"), x.w.alias("w"), x.q.alias("q"), (x.core & bare(x)).alias("own")))).alias("segs"))
     segs = cut(rows.select("doc_id", F.explode("segs").alias("x")).select("doc_id", "x.*"))
     whole = rows.groupBy(F.xxhash64(F.array_sort(F.transform("segs", lambda x: x.h))).alias("g")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    core = cut(full.select(F.explode(F.transform(F.filter("segs", lambda x: x.core), lambda x: x.h)).alias("h")).distinct())
+    core = cut(full.select(F.explode(F.transform(F.filter("segs", lambda x: x.core & ~bare(x)), lambda x: x.h)).alias("h")).distinct())
     learned = templates(segs, whole, core, title)
     some = segs.join(learned, "h", "left_semi").select("doc_id").distinct()
     made = segs.join(some, "doc_id", "left_semi").join(learned.withColumn("p", F.lit(1)), "h", "left").groupBy("doc_id")
     made = made.agg(F.sum(F.col("p").isNull().cast("int")).alias("u"), F.max(F.when(F.col("p").isNull(), F.col("w")).otherwise(0)).alias("uw"), F.max(F.col("p").isNull() & F.col("q")).alias("uq"), F.count("p").alias("k"))
     of_templates = made.where((F.col("u") == 0) | ((F.col("u") == 1) & (F.col("uw") <= title) & ~F.col("uq") & (F.col("k") > 1))).select("doc_id")
 
-    known = segs.join(core.withColumn("is_core", F.lit(True)), "h", "left").withColumn("is_core", F.coalesce("is_core", F.lit(False)))
-    held = cut(known.join(segs.join(core, "h", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi"))
+    known = segs.join(core.withColumn("is_core", F.lit(True)), "h", "left").withColumn("is_core", F.coalesce("is_core", F.lit(False)) | F.col("own"))
+    held = cut(known.join(segs.join(core, "h", "left_semi").select("doc_id").unionByName(segs.where("own").select("doc_id")).distinct(), "doc_id", "left_semi"))
     held = held.join(held.where("q and not is_core").select("doc_id").distinct(), "doc_id", "left_anti")
     message = held.where("is_core").groupBy("doc_id").agg(F.xxhash64(F.array_sort(F.collect_set("h"))).alias("message"))  # the cores of one document
     parts = cut(held.where("not is_core").join(message, "doc_id"))

@@ -78,3 +78,9 @@ def test_a_bare_name_in_a_slot(spark):
     rows = [(i, f"Hello {{{{user_name}}}}, you have a new reply in topic {i}") for i in range(4)] + [(9, "Hello user name, you have a new reply in topic 8"), (10, "Hello Dana, you have a new reply in topic 8")]
     found = {r.doc_id for r in residue.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {0, 1, 2, 3, 9}
+
+
+def test_bare_numbers_are_no_messages(spark):
+    rows = [(1, "404"), (2, "12"), (3, "Thanks all\n12"), (4, "404 Not Found\nb12ea8"), (5, "503 Service Unavailable\n00ff11"), (6, "Access denied\n7c7c7c"), (7, "Access denied\nLogin | Register"), (8, "404 Not Found\nLogin | Register"), (9, "503 Service Unavailable\nLogin | Register"), (10, "503 Service Unavailable\nLogin | Register 9d9d9d")]
+    found = {r.doc_id for r in residue.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1, *range(4, 11)}
